@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["toxicity"]
+MODULES = ["toxicity", "quality", "language", "near_dedup"]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
