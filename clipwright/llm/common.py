@@ -67,13 +67,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     The draw is bounded, so the steps after it are too. In it, copies and near copies count once: texts that share any of
     three least hashes over neighbouring words stay as one, else a copied document would pass its words off as evidence.
     """
-    y = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label")).where(F.col(label).isNotNull())
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (crc_fold("doc_id", folds) != held))
-    rows = rows.join(y, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
-    parts = [rows.where(F.col("label") == v).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "text").limit(n) for v, n in most.items()]
-    drawn = parts[0]
+    y = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label")).where(crc_fold("doc_id", folds) != held)
+    parts = [y.where(F.col("label") == v).orderBy(F.xxhash64("_id", F.lit(11)), "_id").limit(n) for v, n in most.items()]
+    chosen = parts[0]
     for part in parts[1:]:
-        drawn = drawn.unionByName(part)
+        chosen = chosen.unionByName(part)
+    # At most sum(most) ids of 8 bytes, so they go to the texts and the texts stay where they are.
+    drawn = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    drawn = drawn.groupBy("doc_id").agg(F.min(F.struct("text", "label")).alias("x")).select("doc_id", "x.text", "x.label")
     words = F.split(F.lower("text"), r"\s+")
     keyed = drawn.withColumn("w", words).withColumn("w", F.when(F.size("w") > 1, F.transform(F.slice("w", 2, 1_000_000_000), lambda x, i: F.concat(F.element_at("w", (i + 1).cast("int")), F.lit(" "), x))).otherwise(F.col("w")))
     for seed in range(3):
