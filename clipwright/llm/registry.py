@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["toxicity", "quality", "language", "pii", "near_dedup"]
+MODULES = ["toxicity", "quality", "language", "pii", "near_dedup", "packing"]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
