@@ -11,6 +11,7 @@ moved up by the number of pieces in the blocks before.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import struct
@@ -32,19 +33,19 @@ PLAIN = re.compile("[^\\t\\n\\r -~\\xa0-\\u024f]|<\\|")
 _encoders: dict[str, object] = {}
 
 
-def encoder(path: str):
-    """text -> ids by the tokenizer file at ``path``, no special tokens added; one for each worker process.
+def encoder(file: str):
+    """text -> ids by the tokenizer file with this content, no special tokens added; one for each worker process.
 
     Byte-level files are read into a byte-pair encoder that gives the same ids several times faster; texts with characters on which
     Unicode versions may differ, or with a special token's text, go through the tokenizers library itself.
     """
-    if path not in _encoders:
+    name = hashlib.md5(file.encode()).hexdigest()
+    if name not in _encoders:
         import tiktoken
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        own = Tokenizer.from_file(path)
+        spec = json.loads(file)
+        own = Tokenizer.from_str(file)
         own_ids = lambda text: own.encode(text, add_special_tokens=False).ids
         pre, vocab = spec.get("pre_tokenizer") or {}, spec["model"].get("vocab") or {}
         special = {x["content"] for x in spec.get("added_tokens", [])}
@@ -59,10 +60,10 @@ def encoder(path: str):
             ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if t not in special}
             pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
             fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-            _encoders[path] = lambda text: own_ids(text) if PLAIN.search(text) else fast(text)
+            _encoders[name] = lambda text: own_ids(text) if PLAIN.search(text) else fast(text)
         else:
-            _encoders[path] = own_ids
-    return _encoders[path]
+            _encoders[name] = own_ids
+    return _encoders[name]
 
 
 def cut(n: int, length: int) -> list[tuple[int, int]]:
@@ -77,8 +78,11 @@ def tokenised(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int =
     Null texts count as empty: one piece of one id.
     """
 
+    with open(tokenizer, encoding="utf-8") as f:
+        sent = docs.sparkSession.sparkContext.broadcast(f.read())
+
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer)
+        encode = encoder(sent.value)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
