@@ -78,7 +78,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     words = F.split(F.lower("text"), r"\s+")
     keyed = drawn.withColumn("w", words).withColumn("w", F.when(F.size("w") > 1, F.transform(F.slice("w", 2, 1_000_000_000), lambda x, i: F.concat(F.element_at("w", (i + 1).cast("int")), F.lit(" "), x))).otherwise(F.col("w")))
     for seed in range(3):
-        keyed = keyed.withColumn(f"k{seed}", F.array_min(F.transform("w", lambda x, seed=seed: F.xxhash64(x, F.lit(seed)))))
+        keyed = keyed.withColumn(f"k{seed}", F.array_min(F.transform("w", lambda x: F.xxhash64(x, F.lit(seed)))))  # noqa: B023
     kept = stage(keyed.drop("w"))
     for seed in range(3):
         first = Window.partitionBy(f"k{seed}").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "text")
