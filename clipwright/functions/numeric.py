@@ -1,0 +1,22 @@
+"""Rounding as Python does it."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def half_even(value: Column, digits: int = 0) -> Column:
+    """Half-to-even rounding; on ties of inexact decimals it may differ from Python in the last digit, see ``py_round``."""
+    return F.bround(value, digits)
+
+
+def py_round(value: Column, digits: int) -> Column:
+    """Bit-exact Python rounding of a double, for runs that must agree to the last digit; vectorised."""
+
+    def rounded(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda x: None if pd.isna(x) else round(x, digits))
+
+    rounded.__annotations__ = {"batch": pd.Series, "return": pd.Series}
+    return F.pandas_udf(rounded, "double")(value)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import caption_queries, judge_queries, task_queries
+
+QUERIES = caption_queries.QUERIES | judge_queries.QUERIES | task_queries.QUERIES
+ORACLES = caption_queries.ORACLES | judge_queries.ORACLES | task_queries.ORACLES
 FLAGSHIP = "agg_6_rule_score_report"
