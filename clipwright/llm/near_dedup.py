@@ -9,8 +9,8 @@ as many points as it has shingles.
 
 Links between different texts: texts sharing a band are linked to the least text of the band first.  Then, in bands where that left more than one
 component, pairs across components are compared by their whole signatures, in tiles of bounded size; only those whose agreement could come
-from a similarity of THRESHOLD are verified.  A pair within one component can't change the result, so copies are never expanded into all pairs.
-A pair at exactly 0.8 is missed with a chance of about 0.0003 (no common band) plus 0.00005 (agreement below NEAR), one at 0.85 practically never.
+from a similarity of THRESHOLD are verified, each text's best pair first, then those that still lie across components.  A pair within one component can't change the result, so copies are never expanded into all pairs.
+A pair at exactly 0.8 is missed with a chance of about 0.0003 (no common band) plus 0.0004 (agreement below NEAR), one at 0.85 practically never.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 36, 7
 #: Places of a signature; the first BANDS * ROWS make the bands. Each is kept as one byte.
 PLACES = 504
-#: Least agreement of signatures that is verified: 4 standard deviations below that of a pair at THRESHOLD.
-NEAR = 0.73
+#: Least agreement of signatures that is verified: 3.4 standard deviations below that of a pair at THRESHOLD.
+NEAR = 0.74
 #: Texts of one band that a tile compares with as many others, on average.
 TILE = 1_024
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -172,8 +172,11 @@ def _similar(batches):
         yield batch.loc[keep, ["a", "b"]]
 
 
-def _agreeing(batches):
-    """Pairs of a tile from different components whose sizes and signatures allow THRESHOLD, each in the first band that both share only."""
+def _agreeing(batches, best_only: bool):
+    """Pairs of a tile from different components whose sizes and signatures allow THRESHOLD, each in the first band that both share only.
+
+    With ``best_only`` just the best pair of each text.
+    """
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         lo, number = rows["lo"].iloc[0], int(rows["band"].iloc[0] >> 56)
@@ -181,17 +184,30 @@ def _agreeing(batches):
         root, size, block = pd.factorize(rows["root"])[0], rows["size"].to_numpy(), rows["block"].to_numpy()
         same = lo == rows["hi"].iloc[0]
         a, b = [], []
+        top, partner = np.zeros(len(rows)), np.full(len(rows), -1)
         for i in range(len(rows)) if same else np.flatnonzero(block == lo):
             j = np.arange(i + 1, len(rows)) if same else np.flatnonzero(block != lo)
             j = j[(root[j] != root[i]) & (np.minimum(size[j], size[i]) >= THRESHOLD * np.maximum(size[j], size[i]))]
             if len(j):
                 agree = sig[j] == sig[i]
-                near = agree.mean(1) >= NEAR
+                share = agree.mean(1)
+                near = share >= NEAR
+                if best_only:
+                    j, share = j[near], share[near]
+                    better = share > top[j]
+                    top[j[better]], partner[j[better]] = share[better], i
+                    if len(j) and share.max() > top[i]:
+                        top[i], partner[i] = share.max(), j[share.argmax()]
+                    continue
                 j, agree = j[near], agree[near, : number * ROWS]
                 if len(j):
                     j = j[~agree.reshape(len(j), number, ROWS).all(2).any(1)]
                     a += [i] * len(j)
                     b += j.tolist()
+        if best_only:
+            ends = {(min(i, j), max(i, j)) for i, j in enumerate(partner.tolist()) if j >= 0}
+            kept = [(i, j) for i, j in sorted(ends) if not (sig[i, : number * ROWS] == sig[j, : number * ROWS]).reshape(number, ROWS).all(1).any()]
+            a, b = [i for i, _ in kept], [j for _, j in kept]
         node = rows["node"].to_numpy()
         return pd.DataFrame({"a": node[a], "b": node[b]})
 
@@ -214,7 +230,7 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     A text is fetched once, from the document that stands for it, so copies of one text don't meet in one task.
     """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = nodes.join(ends, "node").select("node", F.col("id").alias("rep"))
     md5 = F.unhex(F.md5(F.col("text").cast("binary")))
     held = docs.select(F.coalesce("id", F.lit(-1)).alias("rep"), md5.alias("node"), "text")
@@ -246,6 +262,23 @@ def components(links: DataFrame) -> DataFrame:
             return small.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def across(nodes: DataFrame, root: DataFrame, best_only: bool) -> DataFrame:
+    """(a, b), a < b: pairs of texts of one band but different components whose signatures agree enough to be verified."""
+    placed = nodes.join(root, "node", "left").select("node", "size", F.coalesce("root", "node").alias("root"), "band")
+    flat = placed.select("node", "size", "root", F.explode("band").alias("band"))
+    several = flat.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
+    several = several.where("lo <> hi").select("band", F.ceil(F.col("n") / TILE).cast("int").alias("blocks"))
+    # Each text of such a band meets every block of it: tiles (lower block, higher block).
+    members = flat.join(several, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    members = stage(members.select("band", "block", "blocks", "node", "size", "root"))
+    signs = nodes.join(members.select("node").distinct(), "node").select("node", "sig")
+    tiles = members.join(signs, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = tiles.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "size", "root", "sig")
+    dealt = tiles.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
+    found = dealt.mapInPandas(lambda batches: _agreeing(batches, best_only), "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, class_id, kept) for every row: the class of near-duplicates, named by its least id, and whether the row has that id.
 
@@ -256,31 +289,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     signed = stage(rows.mapInPandas(_signed, "id long, node binary, size long, band array<long>, sig binary"))
     nodes = stage(signed.where("size > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("band").alias("band"), F.first("sig").alias("sig")))
-    flat = nodes.select("node", "size", F.explode("band").alias("band"))
-    stars = flat.groupBy("band").agg(F.min(F.struct("node", "size")).alias("star"), F.count("*").alias("n")).where("n > 1").select("band", "star")
+    flat = nodes.select("id", "node", "size", F.explode("band").alias("band"))
+    stars = flat.groupBy("band").agg(F.min(F.struct("id", "node", "size")).alias("star"), F.count("*").alias("n")).where("n > 1").select("band", "star")
     close: Column = F.least("size", "star.size") >= F.lit(THRESHOLD) * F.greatest("size", "star.size")
     first = flat.join(stars, "band").where((F.col("node") != F.col("star.node")) & close)
     pairs = stage(first.select(F.col("star.node").alias("a"), F.col("node").alias("b")).distinct())
     links = verify(pairs, nodes, rows)
     root = components(links)
-    # Bands that still hold texts of several components.
-    placed = nodes.join(root, "node", "left").select("node", "size", F.coalesce("root", "node").alias("root"), "band", "sig")
-    flat = placed.select("node", "size", "root", F.explode("band").alias("band"))
-    several = flat.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
-    several = several.where("lo <> hi").select("band", F.ceil(F.col("n") / TILE).cast("int").alias("blocks"))
-    # Each text of such a band meets every block of it: tiles (lower block, higher block).
-    members = flat.join(several, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = stage(members.select("band", "block", "blocks", "node", "size", "root"))
-    signs = nodes.join(members.select("node").distinct(), "node").select("node", "sig")
-    tiles = members.join(signs, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = tiles.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "size", "root", "sig")
-    dealt = tiles.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
-    across = dealt.mapInPandas(_agreeing, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = stage(across.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    if not across.isEmpty():
-        more = verify(across, nodes, rows)
-        if not more.isEmpty():
-            root = components(links.unionByName(more))
+    for best_only in (True, False):
+        found = across(nodes, root, best_only)
+        tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        found = stage(found.join(tested, ["a", "b"], "left_anti"))
+        if not found.isEmpty():
+            pairs = stage(pairs.unionByName(found))
+            more = verify(found, nodes, rows)
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                root = components(links)
     rooted = nodes.select("node", "id").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.groupBy("root").agg(F.min("id").alias("class_id"))
     classed = stage(rooted.join(named, "root").select("node", "class_id"))
