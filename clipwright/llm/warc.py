@@ -1,7 +1,8 @@
 """WARC archives and their capture index.
 
 Writing: every page becomes a WARC/1.1 record, `response` or, if a page with a smaller id has the same payload, `revisit`.  Records go to the
-shared folder through Spark's text writer, whose line end completes the blank lines after a record; so files commit as any other table.
+shared folder through Spark's text writer, whose line end completes the blank lines after a record; so files commit as any other table.  Files are gzipped, and hold so
+many records that an average one has ARCHIVE_BYTES of payload; no page is moved to fill them.
 Reading: an archive is read whole and cut by Content-Length, never by searching for a boundary that a payload might contain.
 Index: each archive gives a run of captures sorted by (URL key, time, record).  Runs are cut at the same range bounds, and each range is merged from its
 slices of all runs by a loser tree; the ranges in order are the whole index in order, with each capture's place in its URL's history.
@@ -10,6 +11,7 @@ slices of all runs by a loser tree; the ranges in order are the whole index in o
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -22,8 +24,10 @@ from pyspark.sql import types as T
 
 from .common import shared_dir, stage, table
 
-#: Bytes of payload that an archive file should hold.
+#: Bytes that an archive file should hold before compression.
 ARCHIVE_BYTES = 8 << 20
+#: Most payloads with several pages that are broadcast; more meet the pages in a shuffle.
+BROADCAST_ROWS = 200_000
 HEAD = re.compile(rb"WARC/1\.1\r\n(.*?)\r\n\r\n", re.S)
 
 
@@ -45,7 +49,9 @@ def described(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     rows = rows.select("page_id", "url", "ts", "html", F.length("payload").cast("long").alias("payload_bytes"), payload_digest(F.col("payload")).alias("payload_digest"))
     # The least id of a payload is a partial aggregate, so a payload of a third of all pages costs one row a task.
     least = rows.where((F.col("payload_bytes") >= least_bytes) & F.col("page_id").isNotNull()).groupBy(F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b"))
-    several = least.agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("d", "b", "first")
+    several = stage(least.agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("d", "b", "first"))
+    if several.count() <= BROADCAST_ROWS:  # some 60 bytes a row: a size that is checked; pages then stay where they are
+        several = F.broadcast(several)
     joined = rows.join(several, (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") == F.col("b")), "left")
     revisit = F.col("first").isNotNull() & (F.col("page_id") > F.col("first"))
     return joined.select(
@@ -81,10 +87,9 @@ def records(described_pages: DataFrame) -> DataFrame:
 def write_archives(pages: DataFrame, least_bytes: int = 0) -> str:
     """Writes a record for each of ``pages`` (page_id, url, ts, html) and returns the folder of archives in the shared storage."""
     path = shared_dir(pages.sparkSession)
-    ready = stage(described(pages, least_bytes))
-    total = ready.agg(F.sum("payload_bytes")).first()[0] or 0
-    files = max(1, -(-total // ARCHIVE_BYTES))
-    records(ready).repartition(files).write.option("lineSep", "\n").text(path)
+    size = pages.agg(F.avg(F.octet_length(F.coalesce("html", F.lit("")))).alias("mean")).first()["mean"] or 0
+    records_a_file = max(1, int(ARCHIVE_BYTES // (size + 600)))
+    records(described(pages, least_bytes)).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", records_a_file).text(path)
     return path
 
 
@@ -96,7 +101,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for archive, data in zip(batch["path"], batch["content"], strict=True):
+            for archive, packed in zip(batch["path"], batch["content"], strict=True):
+                data = gzip.decompress(packed)
                 at, rows, size = 0, [], 0
                 while at < len(data):
                     head = HEAD.match(data, at)
