@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import chunks, stage, table
 
 #: Words in the dictionary, and documents whose words are counted for it.
-HOT, SAMPLE = 400_000, 25_000
+HOT, SAMPLE = 200_000, 25_000
 MAPS = 16_384
 NONE = 1 << 30
 ALL = 1_000_000_000
@@ -112,9 +112,11 @@ def hot_words(docs: DataFrame, pattern: str, ranks: Column, hot: int = HOT, samp
     chosen = stage(counted.where(F.length("word") < 64).orderBy(F.desc("n"), "word").limit(hot).select("word"))
     width = max(4, docs.sparkSession.sparkContext.defaultParallelism)
     rows = stage(chosen.repartition(width).select("word", fold(F.col("word"), ranks).alias("ids"))).toArrow()
-    flat = rows["ids"].combine_chunks()
-    values, ends = flat.flatten().to_numpy().astype(np.uint32).tobytes(), np.cumsum(flat.value_lengths().to_numpy())
-    return {w: values[4 * a : 4 * b] for w, a, b in zip(rows["word"].to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True)}
+    out: dict[str, bytes] = {}
+    for part in rows.to_batches(max_chunksize=20_000):
+        values, ends = part["ids"].flatten().to_numpy().astype(np.uint32).tobytes(), np.cumsum(part["ids"].value_lengths().to_numpy()).tolist()
+        out.update((w, values[4 * a : 4 * b]) for w, a, b in zip(part["word"].to_pylist(), [0, *ends[:-1]], ends, strict=True))
+    return out
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
