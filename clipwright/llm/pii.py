@@ -29,7 +29,7 @@ PATTERNS = [
     r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![0-9A-Za-z]|\.\d)",
     r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)",
     r"\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\d)",
-    r"(?<![0-9A-Za-z.-])\d{3}([-.])\d{3}\1\d{4}(?![0-9A-Za-z-])",
+    r"(?<![0-9A-Za-z.-])(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?![0-9A-Za-z-])",
     r"(?<![0-9A-Za-z-])\d{3}-\d{2}-\d{4}(?![0-9A-Za-z-])",
     r"(?<![0-9A-Za-z.-])\d(?:[ -]?\d){12,18}(?![0-9A-Za-z-])",
     rf"(?<!\p{{L}})(?:{MALE}|{FEMALE})\.? \p{{Lu}}\p{{Ll}}+(?:-\p{{Lu}}\p{{Ll}}+)?(?: \p{{Lu}}\p{{Ll}}+(?:-\p{{Lu}}\p{{Ll}}+)?)?(?!\p{{L}})",
@@ -60,7 +60,7 @@ def _let(value: Column, use) -> Column:
 
 def find_all(text: Column) -> Column:
     """The entities in a text, in order; empty for null."""
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(f"({PATTERN})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def units(match: Column) -> Column:
