@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import RuleBook
-from .text_rules import bad_output
+from ..config import RuleBook, Settings
+from .judging import failing, feedback, keep_best
+from .text_rules import bad_output, score_reason
 
 REPLY = T.StructType([T.StructField("raw", T.StringType()), T.StructField("finish_reason", T.StringType()), T.StructField("error", T.StringType()), T.StructField("elapsed_s", T.DoubleType())])
 #: Temperatures by style.
@@ -61,3 +62,27 @@ def attempt_rounds(prompts: DataFrame, call, rules: RuleBook, tasks: int, most:
         if n < most and open_.isEmpty():
             break
     return done
+
+
+def judge_rounds(captions: DataFrame, judge: Callable[[DataFrame], DataFrame], rewrite: Callable[[DataFrame], DataFrame], rules: RuleBook, settings: Settings, most: int = 2) -> DataFrame:
+    """INF-3: judge, find failures, rewrite them with feedback, judge again, and keep the best of each (task_id, style) with its text.
+
+    ``captions``: (task_id, style, text), one row a key. ``judge`` adds accuracy, style_match, issue, meta_leak, skipped, skip_reason; ``rewrite`` gets the failing
+    rows with feedback and returns (task_id, style, text). A round works on failing keys only and is checkpointed.
+    """
+    every = judge(captions).withColumn("round", F.lit(0)).checkpoint()
+    last = every
+    for n in range(1, most + 1):
+        bad = last.where(failing(last, settings) | (score_reason(F.col("text"), F.col("style"), rules) != "ok")).withColumn("feedback", feedback(last))
+        if bad.isEmpty():
+            break
+        last = judge(rewrite(bad.select("task_id", "style", "text", "feedback")).select("task_id", "style", "text")).withColumn("round", F.lit(n)).checkpoint()
+        every = every.unionByName(last)
+    best = keep_best(every, settings, most)
+    return best.join(every.select("task_id", "style", "round", "text"), ["task_id", "style", "round"])
+
+
+def model_panel(models: list[str], primary: str, alternate: str) -> list[str]:
+    """SET-2: the models of a panel, trimmed, distinct, in order; none named: the primary and, if it differs, the alternate."""
+    named = list(dict.fromkeys(m.strip() for m in models if m and m.strip()))
+    return named or list(dict.fromkeys([primary, alternate]))

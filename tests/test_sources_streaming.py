@@ -4,8 +4,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from clipwright.config import RuleBook
-from clipwright.operators.inference import attempt_rounds, call_model
+from clipwright.config import RuleBook, Settings
+from clipwright.operators.inference import attempt_rounds, call_model, judge_rounds, model_panel
 from clipwright.sources import tables
 from clipwright.streaming.captions import best_so_far, upsert_batch
 
@@ -39,6 +39,24 @@ def test_model_hook(spark):
     assert done["a"] == (1, "") and done["b"][0] == 3
 
 
+def test_judge_rounds(spark):
+    def judge(df):
+        good = F.col("text") == GOOD
+        scores = {"accuracy": F.when(good, 0.9).otherwise(0.2), "style_match": F.lit(0.9), "issue": F.lit(""), "meta_leak": F.lit(False), "skipped": F.lit(False), "skip_reason": F.lit("")}
+        return df.withColumns(scores)
+
+    told = []
+
+    def rewrite(df):
+        told.extend(r.feedback for r in df.collect())
+        return df.withColumn("text", F.when(F.col("task_id") == "b", GOOD).otherwise("Still bad."))
+
+    rows = spark.createDataFrame([("a", "formal", "bad"), ("b", "formal", "bad"), ("c", "formal", GOOD)], "task_id string, style string, text string")
+    got = {r.task_id: (r.round, r.text) for r in judge_rounds(rows, judge, rewrite, RuleBook(), Settings()).collect()}
+    assert got == {"a": (0, "bad"), "b": (1, GOOD), "c": (0, GOOD)} and len(told) == 3 and "0.20" in told[0]
+    assert model_panel([" x ", "y", "x", ""], "p", "q") == ["x", "y"] and model_panel([], "p", "p") == ["p"]
+
+
 def test_best_so_far(spark, tmp_path):
     schema = "task_id string, style string, text string, score_rank int, pool_index int, ts timestamp"
     rows = [("a", "formal", "x", 50, 0), ("a", "formal", "y", 110, 1), ("a", "formal", "z", 110, 2), ("b", "formal", "w", 10, 0)]
