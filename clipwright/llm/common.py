@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters of text that a scoring task tokenises at a time; bounds a worker's memory, not the text scored.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 250_000
+#: Bytes of rows that go to a Python worker at a time, if the session has Spark's own default.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,17 +35,37 @@ def crc_fold(doc_id: Column | str, folds: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``)."""
+def small_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches end at BATCH_BYTES, so that long texts don't gather in a Python worker; a size that the user has set stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "67108864b") in ("67108864", "67108864b", "64m"):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def _staged_root(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file:///tmp/clipwright-shared"
-    return f"{base.rstrip('/')}/clipwright-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/clipwright"  # one machine: its own folder is shared
+    return f"{base.rstrip('/')}/clipwright-{spark.sparkContext.applicationId}"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``); on a cluster that setting must be there."""
+    return f"{_staged_root(spark)}/{uuid.uuid4().hex}"
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Deletes all that the operators have written to the shared folder in this application; results not yet written can't be read afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_staged_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: its lineage ends there and a lost executor costs no recomputation."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    small_batches(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -93,7 +116,7 @@ class TokenTable:
     forgotten is merely computed again.
     """
 
-    def __init__(self, values_of, most: int = 300_000):
+    def __init__(self, values_of, most: int = 100_000):
         self.values_of, self.most, self.index, self.rows = values_of, most, {}, None
 
     def __call__(self, tokens: list[str]):
@@ -124,6 +147,7 @@ def with_scores(df: DataFrame, text_col: str, make_scorer, fields: str) -> DataF
     Runs where the rows are, without a shuffle; all columns of ``df`` stay as they are.
     """
     names = [x.split()[0] for x in fields.split(",")]
+    small_batches(df.sparkSession)
 
     def scored(batches):
         scorer = make_scorer()

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, stage, table
+from .common import fresh, small_batches, stage, table
 
 LENGTH = 2048
 #: Most pieces that one rank task should sort.
@@ -78,6 +78,7 @@ def tokenised(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int =
     Null texts count as empty: one piece of one id.
     """
 
+    small_batches(docs.sparkSession)
     with open(tokenizer, encoding="utf-8") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
 
