@@ -1,35 +1,35 @@
 """Byte-level BPE: encoding by ranked merges, decoding by concatenation.
 
-A word (a match of the split pattern) is an array of bytes, written in hexadecimal; `aggregate` folds over it, each step joining the neighbouring
-pair of least rank, until no pair has one.  Ranks are a literal: the rank file as an array of small maps, by a hash of the joined
-bytes, so a look-up scans a few entries.  The fold keeps the pairs' ranks and renews only the two beside a merge.
+A word (a match of the split pattern) is an array of its bytes' ids; `aggregate` folds over it, each step joining the neighbouring pair of least
+rank, until no pair has one.  Ranks are a literal: a hash map from pair of ids to the rank of the joined bytes, laid out as two arrays in which a pair
+has one place each, so a look-up is two reads.  The fold keeps the pairs' ranks and renews only the two beside a merge.
 
 Folding each occurrence of a word would repeat most of the work.  The words of a bounded sample of documents are folded once, and the
 HOT most frequent go to the tasks as a dictionary; it only saves time, results don't depend on it.  A task looks words up, leaves holes for the others,
-the same fold runs over the distinct other words of each document, and the holes are filled.  Texts are never shuffled.
+the same fold runs over the distinct other words of each document, and the holes are filled.  Texts are never shuffled, and Python only splits and looks up.
+
+Ids are carried as a text of decimal numbers joined by one space.  Decoding looks up each id's bytes in a literal and concatenates them in Spark.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
+import heapq
 import json
 import re
-import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, stage, table
+from .common import chunks, small_batches, stage, table
 
 #: Words in the dictionary, and documents whose words are counted for it.
-HOT, SAMPLE = 200_000, 25_000
-MAPS = 16_384
-NONE = 1 << 30
+HOT, SAMPLE = 300_000, 25_000
+#: A match of more bytes is merged with a heap where it is split: the fold's cost grows with the square of a match's length.
+LONG = 1_024
 ALL = 1_000_000_000
 #: Texts of these characters only can be split by the standard library's faster matcher, with the same result.
 PLAIN = re.compile("[^\\t\\n\\r -~\\xa1-\\xa9\\xab-\\xb1\\xb4-\\xb8\\xbb\\xbf-\\u024f]")
@@ -44,48 +44,123 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The ranks as one constant: array of maps from hexadecimal bytes to rank."""
-    maps: list[dict[str, int]] = [{} for _ in range(MAPS)]
-    for piece, rank in ranks.items():
-        name = piece.hex().upper()
-        maps[zlib.crc32(name.encode()) % MAPS][name] = rank
-    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
-
-
-def _let(value: Column, use) -> Column:
-    return F.element_at(F.transform(F.array(value), use), 1)
-
+def _prime(n: int) -> int:
+    while any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
 
-def fold(word: Column, ranks: Column) -> Column:
-    """Ids of a word, array<int>."""
 
-    def rank(piece: Column) -> Column:
-        return F.coalesce(F.try_element_at(F.element_at(ranks, (F.crc32(piece) % MAPS).cast("int") + 1), piece), F.lit(NONE))
+class RankMap:
+    """The ranks as one literal, for ``fold``: array of four arrays of whole numbers.
 
-    def pair(parts: Column, i: Column) -> Column:
-        """Rank of joining parts i and i + 1, as an array; empty beyond the ends."""
-        return F.when((i >= 1) & (i < F.size(parts)), F.array(rank(F.concat(F.get(parts, i - 1), F.get(parts, i))))).otherwise(F.array().cast("array<int>"))
+    The first two hold the map from (left id, right id) to rank: with P = left << bits | right, an entry P << bits | rank stands at P modulo the length
+    of one of them.  XOR with P << bits leaves the rank where the entry is P's, and more than any rank elsewhere.  The others have the part of each
+    byte and the rank of each two bytes.
+    """
 
-    def state(parts: Column, of_pairs: Column) -> Column:
-        return F.struct(parts.alias("parts"), of_pairs.alias("pairs"))
+    def __init__(self, ranks: dict[bytes, int]):
+        self.bits = (max(ranks.values(), default=0) + 2).bit_length()
+        self.edge = (1 << self.bits) - 1  # an id that no piece has, and the least value that is no rank
+        self.part = 1 << 3 * self.bits  # what tells a part from a rank
+        pairs = {}
+        for piece, rank in ranks.items():
+            for k in range(1, len(piece)):
+                a, b = ranks.get(piece[:k]), ranks.get(piece[k:])
+                if a is not None and b is not None:
+                    pairs[a << self.bits | b] = rank
+        first = _prime(max(3, len(pairs) * 13 // 10))
+        self.sizes = (first, _prime(first + 2))
+        places: tuple[list, list] = ([None] * self.sizes[0], [None] * self.sizes[1])
+        for pair in pairs:
+            side = 0
+            for _ in range(500):  # the one that stands there moves to its place in the other array
+                at = pair % self.sizes[side]
+                pair, places[side][at] = places[side][at], pair
+                if pair is None:
+                    break
+                side = 1 - side
+            else:
+                raise ValueError("no room for a pair of ranks")
+        entries = [[self.part - 1 if x is None else x << self.bits | pairs[x] for x in side] for side in places]
+        single = [ranks[bytes([b])] | self.part for b in range(256)]
+        double = [ranks.get(bytes([a, b]), self.edge) for a in range(256) for b in range(256)]
+        self.literal = F.from_json(F.lit(json.dumps([*entries, single, double])), "array<array<bigint>>")
 
-    def step(acc: Column, _: Column) -> Column:
-        parts, pairs = acc["parts"], acc["pairs"]
-        least = F.array_min(pairs)
 
-        def merged(i: Column) -> Column:
-            joined = F.concat(F.slice(parts, F.lit(1), i - 1), F.array(F.concat(F.get(parts, i - 1), F.get(parts, i))), F.slice(parts, i + 2, F.lit(ALL)))
-            return _let(joined, lambda new: state(new, F.concat(F.slice(pairs, F.lit(1), F.greatest(i - 2, F.lit(0))), pair(new, i - 1), pair(new, i), F.slice(pairs, i + 2, F.lit(ALL)))))
+def _let(value: Column, use) -> Column:
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-        return F.when(F.coalesce(least, F.lit(NONE)) == NONE, acc).otherwise(_let(F.array_position(pairs, least).cast("int"), merged))
 
-    def folded(parts: Column) -> Column:
-        first = F.zip_with(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.slice(parts, F.lit(2), F.lit(ALL)), lambda a, b: rank(F.concat(a, b)))
-        steps = F.slice(parts, F.lit(2), F.lit(ALL))
-        return F.aggregate(steps, state(parts, first), step, lambda acc: F.transform(acc["parts"], rank))
+def fold(words: Column, ranks: RankMap) -> Column:
+    """For an array of words, the ids of each: array<array<bigint>>. An empty word has none.
 
-    return _let(F.regexp_extract_all(F.hex(F.encode(word, "utf-8")), F.lit(".."), F.lit(0)), folded)
+    The state is one array: a part, the rank of joining it with the next part, the next part, ...; parts are larger than ranks, so the least element
+    is the next merge.
+    """
+    number = lambda x: F.lit(x).cast("long")
+    edge, none = number(ranks.edge | ranks.part), number(ranks.edge)
+    id_of = lambda part: part.bitwiseXOR(number(ranks.part))
+
+    def folded(word: Column, literal: Column) -> Column:
+        def rank(a: Column, b: Column) -> Column:
+            pair = F.shiftleft(a, ranks.bits) + b
+            sides = [F.get(literal[k], (pair % F.lit(n)).cast("int")) for k, n in enumerate(ranks.sizes)]
+            return F.least(*[x.bitwiseXOR(F.shiftleft(pair, ranks.bits)) for x in sides])
+
+        def step(acc: Column, _: Column) -> Column:
+            def merged(i: Column) -> Column:
+                new = F.get(acc, i - 1)
+                beside = rank(id_of(F.get(acc, i - 4)), new), rank(new, id_of(F.get(acc, i + 2)))
+                return F.concat(F.slice(acc, F.lit(1), i - 3), F.array(beside[0], new.bitwiseOR(number(ranks.part)), beside[1]), F.slice(acc, i + 3, F.lit(ALL)))
+
+            return F.when(F.array_min(acc) >= ranks.edge, acc).otherwise(_let(F.array_position(acc, F.array_min(acc)).cast("int"), merged))
+
+        def begun(codes: Column) -> Column:
+            both = lambda a, b: F.array(F.get(literal[2], a), F.coalesce(F.get(literal[3], F.shiftleft(a, 8) + b), none))
+            start = F.concat(F.array(edge, none), F.flatten(F.zip_with(codes, F.slice(codes, F.lit(2), F.lit(ALL)), both)), F.array(edge))
+            parts = lambda acc: F.transform(F.filter(acc, lambda x: (x >= ranks.part) & (x != edge)), id_of)
+            return F.aggregate(codes, start, step, parts)
+
+        # Read as Latin-1, every byte is a character.
+        chars = F.split(F.decode(F.encode(word, "utf-8"), "iso-8859-1"), "")
+        return F.when(word == "", F.array().cast("array<bigint>")).otherwise(_let(F.transform(chars, F.ascii), begun))
+
+    return _let(ranks.literal, lambda literal: F.transform(words, lambda word: folded(word, literal)))
+
+
+def spelled(ids: Column) -> Column:
+    """Ids as decimal numbers joined by one space."""
+    return F.array_join(F.transform(ids, lambda x: x.cast("string")), " ")
+
+
+def heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one match: the same merges as the fold's, least rank first and leftmost among equals, in n log n."""
+    end, before = list(range(1, len(piece) + 1)), list(range(-1, len(piece) - 1))
+
+    def offer(at: int) -> None:
+        if end[at] < len(piece) and (rank := ranks.get(piece[at : end[end[at]]])) is not None:
+            heapq.heappush(heap, (rank, at, end[end[at]]))
+
+    heap: list[tuple[int, int, int]] = []
+    for at in range(len(piece) - 1):
+        offer(at)
+    gone = bytearray(len(piece) + 1)
+    while heap:
+        rank, at, to = heapq.heappop(heap)
+        if gone[at] or end[at] >= to or end[end[at]] != to:  # a part of it was merged meanwhile
+            continue
+        gone[end[at]] = 1
+        end[at] = to
+        if to < len(piece):
+            before[to] = at
+        offer(at)
+        if before[at] >= 0:
+            offer(before[at])
+    out, at = [], 0
+    while at < len(piece):
+        out.append(ranks[piece[at : end[at]]])
+        at = end[at]
+    return out
 
 
 def splitter(pattern: str):
@@ -96,8 +171,8 @@ def splitter(pattern: str):
     return lambda text: whole(text) if PLAIN.search(text) else QUICK.findall(text)
 
 
-def hot_words(docs: DataFrame, pattern: str, ranks: Column, hot: int = HOT, sample: int = SAMPLE) -> dict[str, bytes]:
-    """The ids, as 32-bit integers, of at most ``hot`` words, the most frequent in at most ``sample`` documents. ``docs``: (id, text)."""
+def hot_words(docs: DataFrame, pattern: str, ranks: RankMap, hot: int = HOT, sample: int = SAMPLE) -> dict[str, str]:
+    """The spelled ids of at most ``hot`` words, the most frequent in at most ``sample`` documents. ``docs``: (id, text)."""
     ids = docs.select(F.col("id").alias("_id")).where("id IS NOT NULL").orderBy(F.xxhash64("_id", F.lit(7)), "_id").limit(sample).distinct()
     drawn = docs.join(F.broadcast(ids), F.col("id") == F.col("_id")).select("text")  # at most ``sample`` ids of 8 bytes
 
@@ -111,26 +186,37 @@ def hot_words(docs: DataFrame, pattern: str, ranks: Column, hot: int = HOT, samp
     counted = drawn.mapInPandas(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     chosen = stage(counted.where(F.length("word") < 64).orderBy(F.desc("n"), "word").limit(hot).select("word"))
     width = max(4, docs.sparkSession.sparkContext.defaultParallelism)
-    rows = stage(chosen.repartition(width).select("word", fold(F.col("word"), ranks).alias("ids"))).toArrow()
-    out: dict[str, bytes] = {}
-    for part in rows.to_batches(max_chunksize=20_000):
-        values, ends = part["ids"].flatten().to_numpy().astype(np.uint32).tobytes(), np.cumsum(part["ids"].value_lengths().to_numpy()).tolist()
-        out.update((w, values[4 * a : 4 * b]) for w, a, b in zip(part["word"].to_pylist(), [0, *ends[:-1]], ends, strict=True))
+    told = chosen.repartition(width).select("word", spelled(F.element_at(fold(F.array("word"), ranks), 1)).alias("ids"))
+    out: dict[str, str] = {}
+    for part in stage(told).toArrow().to_batches(max_chunksize=20_000):
+        out.update(zip(part["word"].to_pylist(), part["ids"].to_pylist(), strict=True))
     return out
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, ids array as little-endian 32-bit integers in ``ids`` binary) of every row; null and empty texts have no ids.
+    """(id_col, ids string) of every row: its ids as decimal numbers joined by one space; null and empty texts have the empty text.
 
-    Repeated rows are encoded as often as they occur. A single match of the pattern costs the square of its length.
+    A match that is a piece of the vocabulary gets that piece's id. Repeated rows are encoded as often as they occur, extra columns are left out.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    ranks = rank_literal(read_ranks(ranks_path))
-    sent = docs.sparkSession.sparkContext.broadcast(hot_words(rows, pattern, ranks))
+    ranks = read_ranks(ranks_path)
+    ranked = RankMap(ranks)
+    context = docs.sparkSession.sparkContext
+    sent, pieces = context.broadcast(hot_words(rows, pattern, ranked)), context.broadcast(ranks)
 
     def looked_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """ids of known words; a word that isn't known leaves the number of its place in ``rare``, above 2**31."""
-        get, split = sent.value.get, splitter(pattern)
+        """Ids of known words; a word that isn't known leaves the number of its place in ``rare`` between two tildes."""
+        get, split, ranks = sent.value.get, splitter(pattern), pieces.value
+
+        def told(word: str, holes: dict[str, int]) -> str:
+            raw = word.encode("utf-8", "replace")
+            if raw in ranks:
+                return str(ranks[raw])
+            if len(raw) > LONG:
+                return " ".join(map(str, heap_merge(raw, ranks)))
+            return f"~{holes.setdefault(word, len(holes))}~"
+
         for batch in batches:
             known, rare = [], []
             for text in batch["text"]:
@@ -139,53 +225,36 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 if None in ids:
                     for k, x in enumerate(ids):
                         if x is None:
-                            ids[k] = (holes.setdefault(words[k], len(holes)) | 1 << 31).to_bytes(4, "little")
-                known.append(b"".join(ids))
+                            ids[k] = told(words[k], holes)
+                known.append(" ".join(ids))
                 rare.append(list(holes))
             yield pd.DataFrame({"id": batch["id"], "known": known, "rare": rare})
 
-    def filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for known, rare in zip(batch["known"], batch["rare"], strict=True):
-                if len(rare):
-                    ids = np.frombuffer(known, np.uint32)
-                    hole = ids >= 1 << 31
-                    sizes, which = np.ones(len(ids), np.int64), ids[hole] & np.uint32((1 << 31) - 1)
-                    sizes[hole] = np.array([len(x) for x in rare])[which]
-                    ids = np.repeat(ids, sizes)
-                    ids[np.repeat(hole, sizes)] = np.concatenate([rare[k] for k in which])
-                    known = ids.tobytes()
-                out.append(known)
-            yield pd.DataFrame({"id": batch["id"], "ids": out})
-
     kind = rows.schema["id"].dataType.simpleString()
-    half = rows.mapInPandas(looked_up, f"id {kind}, known binary, rare array<string>")
-    half = half.select("id", "known", F.transform("rare", lambda w: fold(w, ranks)).alias("rare"))
-    return half.mapInPandas(filled, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
+    half = rows.mapInPandas(looked_up, f"id {kind}, known string, rare array<string>")
+
+    def filled(rare: Column) -> Column:
+        # Between tildes, every second piece is the number of a hole.
+        return F.array_join(F.transform(F.split("known", "~"), lambda x, i: F.when(i % 2 == 1, F.get(rare, F.when(i % 2 == 1, x).cast("int"))).otherwise(x)), "")
+
+    held = F.transform(fold(F.col("rare"), ranked), spelled)
+    return half.select(F.col("id").alias(id_col), F.when(F.size("rare") == 0, F.col("known")).otherwise(_let(held, filled)).alias("ids"))
 
 
 def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataFrame:
-    """(id_col, n_tokens, ids_sha256, decoded_sha256) of rows from ``encode``: bytes are the concatenated pieces of the ids."""
-    ranks = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-
-    def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        piece = [b""] * (max(ranks.value.values(), default=-1) + 1)
-        for b, k in ranks.value.items():
-            piece[k] = b
-        name = [str(k) for k in range(len(piece))]
-        for batch in batches:
-            n, told, back = [], [], []
-            for raw in batch["ids"]:
-                ids = np.frombuffer(raw, np.uint32).tolist()
-                n.append(len(ids))
-                told.append(hashlib.sha256(" ".join(map(name.__getitem__, ids)).encode()).hexdigest())
-                back.append(hashlib.sha256(b"".join(map(piece.__getitem__, ids))).hexdigest())
-            yield pd.DataFrame({"id": batch["id"], "n_tokens": n, "ids_sha256": told, "decoded_sha256": back})
+    """(id_col, n_tokens, ids_sha256, decoded binary) of rows from ``encode``: the concatenated pieces of the ids."""
+    ranks = read_ranks(ranks_path)
+    piece = [""] * (max(ranks.values(), default=-1) + 1)
+    for b, k in ranks.items():
+        piece[k] = b.hex()
+    literal = F.from_json(F.lit(json.dumps(piece)), "array<string>")
+
+    def joined(pieces: Column) -> Column:
+        return _let(F.split("ids", " "), lambda ids: F.struct(F.size(ids).cast("long").alias("n"), F.unhex(F.array_join(F.transform(ids, lambda x: F.get(pieces, x.cast("int"))), "")).alias("bytes")))
 
-    kind = encoded.schema[id_col].dataType.simpleString()
-    rows = encoded.select(F.col(f"`{id_col}`").alias("id"), "ids")
-    return rows.mapInPandas(decoded, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.unhex(F.lit("")).alias("bytes"))
+    back = encoded.select(F.col(f"`{id_col}`"), "ids", F.when(F.col("ids") == "", none).otherwise(_let(literal, joined)).alias("back"))
+    return back.select(F.col(f"`{id_col}`"), F.col("back.n").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.col("back.bytes").alias("decoded"))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +262,8 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return decode(encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    back = decode(encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES = {"op7_byte_bpe": op7_byte_bpe}

@@ -68,15 +68,19 @@ def test_byte_bpe(spark):
     path = P.path("byte_bpe_50k.tiktoken")
     ranks = byte_bpe.read_ranks(path)
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    texts = [t if not t or len(t) < 2000 else t[:500] for t in TEXTS] + ["été naïve Straße ciónrrque"]
+    rng = random.Random(8)
+    word = "".join(rng.choices("etaoinshrdlu", k=3000))
+    texts = [*TEXTS, "été naïve Straße ciónrrque", word, " ".join("".join(rng.choices("abcdefgh", k=9)) for _ in range(10_000)), "日本語" * 700, "~0~ ~ ~1", " ~x 12~"]
     got = {r.doc_id: r for r in byte_bpe.decode(byte_bpe.encode(docs(spark, texts), path, P.PATTERN), path).collect()}
     for k, text in enumerate(texts):
         ids = enc.encode_ordinary(text or "")
-        want = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
-        assert (got[k].n_tokens, got[k].ids_sha256, got[k].decoded_sha256) == want
-    # The dictionary is only a shortcut.
-    one = spark.createDataFrame([(" ciónrrque",), ("x",)], "w string").select(byte_bpe.fold(F.col("w"), byte_bpe.rank_literal(ranks)).alias("ids")).collect()
-    assert [r.ids for r in one] == [enc.encode_ordinary(" ciónrrque"), enc.encode_ordinary("x")]
+        assert (got[k].n_tokens, got[k].ids_sha256, bytes(got[k].decoded)) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), (text or "").encode())
+    # The dictionary is only a shortcut, and so is the heap for long matches.
+    words = [" ciónrrque", "x", "", word[:200]]
+    one = spark.createDataFrame([(words,)], "w array<string>").select(byte_bpe.fold(F.col("w"), byte_bpe.RankMap(ranks)).alias("ids")).first().ids
+    assert one == [enc.encode_ordinary(w) for w in words]
+    assert byte_bpe.heap_merge(word.encode(), ranks) == enc.encode_ordinary(word)
+    assert byte_bpe.encode(docs(spark).limit(0), path, P.PATTERN).count() == 0
 
 
 def shingled(text):
