@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import sentences, tokens, word_count
 from ..operators import captions as op
 from ..operators import text_rules as t
-from ..operators.tasks import BROADCAST_ROWS, with_facts
+from ..operators.tasks import BROADCAST_ROWS, caption_of, with_facts
 from .derived import CAPTIONS, FACTS, RULES, SETTINGS, captions, facts, judged, sql_tokens, table
 
 QUERIES: dict = {}
@@ -220,6 +220,36 @@ def agg_6_totals(spark: SparkSession, d: str) -> DataFrame:
     return op.rule_totals(captions(spark, d), RULES)
 
 
+@query(
+    "agg_6_rule_report",
+    f"""SELECT 'fail' AS kind, task_id, task_id::VARCHAR || '/' || style || ': ' || score_reason AS line FROM ({judged(ONE)} SELECT * FROM r WHERE score_reason <> 'ok')
+UNION ALL SELECT 'warning', task_id, task_id::VARCHAR || '/' || style1 || ' vs ' || style2 || ': high similarity (' || round_even(s * 100, 0)::INT::VARCHAR || '%)' FROM (SELECT * FROM (
+  WITH w AS (SELECT task_id, style, {sql_tokens("text", "[a-z'']+")} AS w FROM ({ONE}))
+  SELECT a.task_id, a.style AS style1, b.style AS style2, len(list_intersect(a.w, b.w))::DOUBLE / nullif(len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)), 0) AS s, len(a.w) > 0 AND len(b.w) > 0 AS ok FROM w a JOIN w b ON a.task_id = b.task_id AND a.style < b.style) WHERE ok AND s >= {SETTINGS.similarity_warning})""",
+)
+def agg_6_report(spark: SparkSession, d: str) -> DataFrame:
+    return op.rule_report(_one_each(spark, d), RULES, SETTINGS)
+
+
+@query("jon_9_caption_of", f"SELECT task_id, style, n, text AS caption FROM (SELECT task_id, style, count(*) AS n, max_by(text, pool_index) AS text FROM ({CAPTIONS}) GROUP BY 1, 2)")
+def jon_9(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates as clips that share an id: the last one's text counts."""
+    c = captions(spark, d)
+    return caption_of(c.groupBy("task_id", "style").agg(F.count("*").alias("n")), c.withColumn("clip_index", F.col("pool_index")))
+
+
+@query("txt_10_truncated", rf"SELECT {KEY}, pool_index % 3 = 0 OR (text <> '' AND NOT regexp_matches(text, '[.!?)" + '"' + rf"]\z')) AS result FROM ({CAPTIONS})")
+def txt_10(spark: SparkSession, d: str) -> DataFrame:
+    finish = F.when(F.col("pool_index") % 3 == 0, "length").otherwise("stop")
+    return captions(spark, d).select("task_id", "pool_index", t.truncated(F.col("text"), finish).alias("result"))
+
+
+@query("txt_15_placeholder", f"SELECT {KEY}, pool_index % 4 = 0 AS result FROM ({CAPTIONS})")
+def txt_15(spark: SparkSession, d: str) -> DataFrame:
+    text = F.when(F.col("pool_index") % 4 == 0, F.concat(F.lit("  "), F.lit(RULES.placeholders[0]), F.lit("\n"))).otherwise(F.col("text"))
+    return captions(spark, d).select("task_id", "pool_index", t.placeholder(text, RULES).alias("result"))
+
+
 @query("jon_1_captions_with_facts", f"SELECT {KEY}, style, coalesce(length(facts), -1)::INT AS facts_length FROM ({JOINED})")
 def jon_1(spark: SparkSession, d: str) -> DataFrame:
     return _joined(spark, d).select("task_id", "pool_index", "style", F.coalesce(F.length("facts"), F.lit(-1)).alias("facts_length"))

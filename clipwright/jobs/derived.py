@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import STYLES, RuleBook, Settings
+from ..operators.text_rules import EMPTY_COLON, LIST_LINE, OPEN_END, TALLY
 
 RULES = RuleBook(
     drafting_prefixes=("the ", "la ", "er "),
@@ -36,7 +37,7 @@ RULES = RuleBook(
     tech_not_jargon=("not",),
     word_limits={"formal": 58, "humorous_non_tech": 90, "sarcastic": 120, "humorous_tech": 150},
 )
-SETTINGS = Settings(judge_min_score=0.5, accuracy_floor=0.3, style_floor=0.2, similarity_warning=0.1, tie_margin=8)
+SETTINGS = Settings(judge_min_score=0.5, quality_floor=0.5, accuracy_floor=0.3, style_floor=0.2, similarity_warning=0.1, tie_margin=8)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -165,7 +166,7 @@ def judged(source: str, rules: RuleBook = RULES) -> str:
     r = rules
     jargon = [w for w in r.tech_words if w not in r.tech_not_jargon]
     limit = "CASE style " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in r.word_limits.items()) + f" ELSE {r.default_word_limit} END"
-    dangling = rf"(regexp_matches(low, '(?:,\s*|\(\s*|\(\d+\s*)\.$') OR regexp_matches(low, '(?:^|{L})(?:{_any(r.dangling_endings)})\s*\.$'))"
+    dangling = rf"(regexp_matches(t, '{OPEN_END}') OR regexp_matches(low, '(?:^|{L})(?:{_any(r.dangling_endings)})\s*\.$'))"
     return rf"""
 WITH c AS ({source}),
 b AS (SELECT *, {_trim("coalesce(text, '')")} AS t, coalesce(text, '') AS x FROM c),
@@ -178,8 +179,8 @@ f AS (SELECT *,
     OR ({_words("bare")} = 1 AND regexp_replace(lower({_trim("bare")}), '^["'']+|["'']+$', '', 'g') IN ({", ".join(f"'{w}'" for w in r.fragment_sentences)}))
     OR regexp_replace(lower(regexp_extract(bare, '(\S+)\s*$', 1)), '[^a-z0-9'']+', '', 'g') IN ('', {", ".join(f"'{w}'" for w in r.cut_stems)})) AS cut,
   t <> '' AND (regexp_matches(low, '^(?:{_any(r.drafting_prefixes)})') OR regexp_matches(low, '{_any(r.drafting_markers)}')
-    OR regexp_matches(t, '(?m)^\s*[-*•]\s') OR regexp_matches(t, '(?m)^\s*\d+\.\s') OR len(regexp_extract_all(t, '\w+\(\d+\)')) >= 2 OR {dangling}
-    OR regexp_matches(low, '(?:^|\W)in the\s*\.?$') OR regexp_matches(t, '(?m)^#{{1,6}}\s') OR (length(t) - length(replace(t, '"', ''))) % 2 = 1 OR regexp_matches(t, ':\s*\.')
+    OR regexp_matches(t, '{LIST_LINE}') OR len(regexp_extract_all(t, '{TALLY}')) >= 2 OR {dangling}
+    OR (length(t) - length(replace(t, '"', ''))) % 2 = 1 OR regexp_matches(t, '{EMPTY_COLON}')
     OR {_hits("low", r.checklist_tags)} >= 2 OR regexp_matches(low, '[.!?]["'']?\s+(?:{_any(r.evaluative_tails)})\s*[.!?]?$')
     OR (n_parts > 0 AND (regexp_matches(regexp_replace(lower(lastp), '[.!?]+$', ''), '(?:^|{L})(?:{_any(r.fragment_tails)})$')
       OR regexp_replace(lower(lastp), '[.!?]+$', '') IN ({", ".join(f"'{w}'" for w in r.evaluative_tails)})

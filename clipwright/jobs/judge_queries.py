@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import judging as op
 from ..operators.tasks import vision_targets
+from ..sources.tables import nested_report, report_header
 from .derived import CAPTIONS, FAILS, MEAN, PASSES, REPLIES, ROUNDS, RULES, SCORES, SETTINGS, STYLE_LIST, captions, judged, replies, rounds, scores, table
 
 QUERIES: dict = {}
@@ -207,7 +208,7 @@ def agg_7(spark: SparkSession, d: str) -> DataFrame:
     "jon_5_merge_vision",
     f"""{PANEL}, {VISION.strip().removeprefix("WITH ")}, j AS (SELECT panel.*, v.accuracy AS va, v.issue AS vi, NOT panel.skipped AND coalesce(v.usable AND v.accuracy < panel.accuracy AND v.accuracy < {SETTINGS.vision_demote}, false) AS low
   FROM panel LEFT JOIN v USING (task_id, style))
-SELECT task_id, style, CASE WHEN low THEN va ELSE accuracy END AS accuracy, style_match, CASE WHEN low THEN CASE WHEN issue = '' THEN '' ELSE issue || '; ' END || 'vision: ' || vi ELSE issue END AS issue, NOT low AND meta_leak AS meta_leak, low AS demoted FROM j""",
+SELECT task_id, style, CASE WHEN low THEN va ELSE accuracy END AS accuracy, style_match, CASE WHEN low THEN CASE WHEN issue = '' THEN '' ELSE issue || '; ' END || 'vision: ' || coalesce(nullif(vi, ''), 'vision accuracy below text accuracy') ELSE issue END AS issue, NOT low AND meta_leak AS meta_leak, low AS demoted FROM j""",
 )
 def jon_5(spark: SparkSession, d: str) -> DataFrame:
     return op.merge_vision(op.panel(scores(spark, d)), op.vision_panel(_members(spark, d), SETTINGS), SETTINGS).select("task_id", "style", "accuracy", "style_match", "issue", "meta_leak", "demoted")
@@ -222,7 +223,7 @@ def jon_7(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "win_3_resolve_attempts",
     f"""WITH a AS (SELECT task_id, style AS role, round + 1 AS attempt, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'InvalidJSON' WHEN 2 THEN 'Truncated' ELSE CASE WHEN event_id % 20 = 3 THEN 'auth' ELSE 'timeout' END END AS error, event_id % 3 = 0 AS parses
-  FROM ({ROUNDS}) WHERE round < 4),
+  FROM ({ROUNDS})),
 s AS (SELECT *, min(CASE WHEN error IN ('auth', 'refused') THEN attempt END) OVER (PARTITION BY task_id, role) AS stop FROM a),
 l AS (SELECT *, max(attempt) OVER (PARTITION BY task_id, role) AS last FROM s WHERE stop IS NULL OR attempt <= stop),
 o AS (SELECT *, error = '' OR (error = 'Truncated' AND attempt = last AND parses) AS ok FROM l)
@@ -231,7 +232,7 @@ SELECT task_id, role, attempt, error, ok FROM (SELECT *, row_number() OVER (PART
 def win_3(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("event_id")
     error = F.when(n % 4 == 0, "").when(n % 4 == 1, "InvalidJSON").when(n % 4 == 2, "Truncated").when(n % 20 == 3, "auth").otherwise("timeout")
-    tried = rounds(spark, d).where("round < 4").select("task_id", F.col("style").alias("role"), (F.col("round") + 1).alias("attempt"), error.alias("error"), (n % 3 == 0).alias("parses"))
+    tried = rounds(spark, d).select("task_id", F.col("style").alias("role"), (F.col("round") + 1).alias("attempt"), error.alias("error"), (n % 3 == 0).alias("parses"))
     return op.resolve_attempts(tried).select("task_id", "role", "attempt", "error", "ok")
 
 
@@ -248,6 +249,81 @@ def win_4(spark: SparkSession, d: str) -> DataFrame:
     return op.keep_best(rounds(spark, d), SETTINGS).select("task_id", "style", F.col("round").cast("long").alias("round"), "mean", "fails")
 
 
+#: A caption for each event: one that only some styles accept, one that is cut, one that is too short.
+SAID = ["Two small boats drift slowly past our quiet pier. Nobody seems to mind that much today.", "Two small boats drift slowly past our", "Boats drift by."]
+SAID_SQL = "[" + ", ".join(f"'{x}'" for x in SAID) + "][(event_id % 3)::INT + 1]"
+
+
+@query(
+    "win_4_keep_best_with_rules",
+    f"""{judged(f"SELECT *, {SAID_SQL} AS text FROM ({ROUNDS}) WHERE round <= 2")}, k AS (SELECT task_id, style, round, skipped, {MEAN} AS mean, {FAILS} OR score_reason <> 'ok' AS fails FROM r),
+a AS (SELECT a.task_id, a.style, CASE WHEN b.round IS NOT NULL AND a.fails AND NOT b.skipped AND (a.skipped OR b.mean > a.mean OR NOT b.fails) THEN b ELSE a END AS best
+  FROM (SELECT * FROM k WHERE round = 0) a LEFT JOIN (SELECT * FROM k WHERE round = 1) b USING (task_id, style)),
+z AS (SELECT a.task_id, a.style, CASE WHEN c.round IS NOT NULL AND best.fails AND NOT c.skipped AND (best.skipped OR c.mean > best.mean OR NOT c.fails) THEN c ELSE best END AS best
+  FROM a LEFT JOIN (SELECT * FROM k WHERE round = 2) c USING (task_id, style))
+SELECT task_id, style, best.round::BIGINT AS round, best.mean AS mean, best.fails AS fails FROM z""",
+)
+def win_4_rules(spark: SparkSession, d: str) -> DataFrame:
+    said = F.element_at(F.array(*map(F.lit, SAID)), (F.col("event_id") % 3 + 1).cast("int"))
+    return op.keep_best(rounds(spark, d).withColumn("text", said), SETTINGS, rules=RULES).select("task_id", "style", F.col("round").cast("long").alias("round"), "mean", "fails")
+
+
+ISSUE = "coalesce(nullif(issue, ''), nullif(skip_reason, ''), 'below the bar for accuracy or style')"
+
+
+@query(
+    "msg_3_feedback",
+    f"""SELECT event_id, CASE WHEN meta_leak OR regexp_matches(lower({ISSUE}), 'scene|wrong subject|incomplete|describe|meta') THEN 'The last caption was unfinished, held notes or was about another scene (issue: ' || {ISSUE} || '). Write one finished caption of one or two sentences about the primary subject, from the facts alone.'
+  ELSE printf('The last caption scored accuracy %.2f and style %.2f (mean %.2f). Issue: ', accuracy, style_match, {MEAN}) || {ISSUE} || '. Rewrite it from the facts alone and keep its style.' END AS feedback
+FROM (SELECT * REPLACE (CASE WHEN event_id % 9 = 1 THEN 'wrong scene' ELSE issue END AS issue, round(round(accuracy * 50) / 50, 2) AS accuracy, round(round(style_match * 50) / 50, 2) AS style_match) FROM ({SCORES}))""",
+)
+def msg_3(spark: SparkSession, d: str) -> DataFrame:
+    """Scores in steps of 0.02, so that means have two decimals."""
+    even = lambda c: F.round(F.round(F.col(c) * 50) / 50, 2)
+    s = scores(spark, d).withColumns({"issue": F.when(F.col("event_id") % 9 == 1, "wrong scene").otherwise(F.col("issue")), "accuracy": even("accuracy"), "style_match": even("style_match")})
+    return s.select("event_id", op.feedback(s).alias("feedback"))
+
+
+@query("jdg_2_flag", "SELECT event_id, event_id % 9 IN (0, 1, 2, 3, 8) AS leak FROM events")
+def jdg_2(spark: SparkSession, d: str) -> DataFrame:
+    told = F.element_at(F.array(*map(F.lit, ["true", " YES ", "1", "y", "no", "0", "nan", "", "2.5"])), (F.col("event_id") % 9 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", op.flag(told).alias("leak"))
+
+
+@query(
+    "jdg_5_leak_cap",
+    f"""SELECT event_id, CASE WHEN meta_leak THEN least(accuracy, 0.2) ELSE accuracy END AS accuracy, CASE WHEN NOT meta_leak THEN issue WHEN issue = '' THEN 'meta-leak' WHEN contains(lower(issue), 'meta') THEN issue ELSE 'meta-leak; ' || issue END AS issue FROM ({SCORES})""",
+)
+def jdg_5(spark: SparkSession, d: str) -> DataFrame:
+    return scores(spark, d).select("event_id", op.leak_cap(F.col("accuracy"), F.col("meta_leak")).alias("accuracy"), op.leak_issue(F.col("issue"), F.col("meta_leak")).alias("issue"))
+
+
+@query("top_3_low_distinctness", f"SELECT task_id, distinctness FROM ({ORACLES['agg_2_clip_panel']}) WHERE distinctness > 0 AND distinctness < {SETTINGS.distinctness_warning}")
+def top_3(spark: SparkSession, d: str) -> DataFrame:
+    return op.low_distinctness(agg_2(spark, d), SETTINGS).select("task_id", "distinctness")
+
+
+@query(
+    "snk_3_report_header",
+    f"""{PANEL}, w AS (SELECT {TOTALS} FROM panel), j AS (SELECT count(DISTINCT judge_model) AS judges, count(*) FILTER (WHERE {PASSES}) AS judge_passes FROM ({SCORES}))
+SELECT 'panel' AS model, {SETTINGS.judge_min_score}::DOUBLE AS min_score, passes, total, mean AS mean_score, judges::INT AS judges, judge_passes FROM w, j""",
+)
+def snk_3(spark: SparkSession, d: str) -> DataFrame:
+    s = scores(spark, d)
+    head = report_header(op.panel(s), s, SETTINGS, "panel", True)
+    judge_passes = F.aggregate("per_judge", F.lit(0).cast("long"), lambda a, x: a + x["passes"])
+    return head.select("model", "min_score", "passes", "total", "mean_score", F.size("panel_models").alias("judges"), judge_passes.alias("judge_passes"))
+
+
+@query(
+    "snk_3_report_clips",
+    f"{PANEL} SELECT task_id, string_agg(style || ':' || printf('%.3f', accuracy) || ':' || CASE WHEN skipped THEN skip_reason ELSE issue END, '|' ORDER BY list_position({STYLE_LIST}, style)) AS captions FROM panel GROUP BY 1",
+)
+def snk_3_clips(spark: SparkSession, d: str) -> DataFrame:
+    told = F.transform("captions", lambda x: F.concat(x["style"], F.lit(":"), F.format_string("%.3f", x["accuracy"]), F.lit(":"), F.when(x["skipped"], x["skip_reason"]).otherwise(x["issue"])))
+    return nested_report(op.panel(scores(spark, d))).select("task_id", F.array_join(told, "|").alias("captions"))
+
+
 DIST = f"round(abs(least(accuracy, style_match) - {BAR}) + abs({MEAN} - {BAR}) * 0.25 - CASE WHEN {PASSES} THEN 0 ELSE 0.05 END, 6)"
 NEAR = f"NOT skipped AND (abs(least(accuracy, style_match) - {BAR}) <= {SETTINGS.calibration_margin} OR abs({MEAN} - {BAR}) <= {SETTINGS.calibration_margin})"
 

@@ -142,6 +142,15 @@ def rule_totals(captions: DataFrame, rules: RuleBook) -> DataFrame:
     return captions.agg(F.count_if(reason == "ok").alias("passes"), F.count("*").alias("total"))
 
 
+def rule_report(captions: DataFrame, rules: RuleBook, settings: Settings) -> DataFrame:
+    """AGG-6: (kind, task_id, line): a `fail` line for each caption that breaks a rule and a `warning` line for each two styles of a task that are too alike."""
+    reason = rules_of.score_reason(F.col("text"), F.col("style"), rules)
+    failed = captions.withColumn("_r", reason).where("_r <> 'ok'").select(F.lit("fail").alias("kind"), "task_id", F.format_string("%s/%s: %s", F.col("task_id").cast("string"), "style", "_r").alias("line"))
+    share = F.bround(F.col("similarity") * 100, 0).cast("int")
+    alike = similar_styles(captions, settings).select(F.lit("warning").alias("kind"), "task_id", F.format_string("%s/%s vs %s: high similarity (%d%%)", F.col("task_id").cast("string"), "style1", "style2", share).alias("line"))
+    return failed.unionByName(alike)
+
+
 # --- salvage -------------------------------------------------------------------------------------------------------
 
 

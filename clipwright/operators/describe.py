@@ -14,8 +14,11 @@ SCHEMA = (
     "struct<subjects: array<struct<name: string, colors: array<string>, distinguishing: array<string>>>, setting: string, actions_early: string, "
     "actions_late: string, background: string, camera: string, notable_moments: array<string>, on_screen_text: array<string>, ocr: array<string>, readable_text: array<string>>"
 )
-#: Scenery that can stand for a subject when a description names none.
-SCENERY = ("beach", "forest", "mountain", "city", "street", "river", "garden", "sky", "field", "kitchen", "office", "road")
+#: Parts of a setting, and the subject that stands for a scene with one of them; the first that occurs counts.
+SCENERY = {
+    "park": "park scene", "beach": "coastal scene", "coast": "coastal scene", "shore": "coastal scene", "coastline": "coastal scene", "ocean": "ocean scene", "sea": "ocean scene", "waves": "ocean scene",
+    "office": "office scene", "meadow": "meadow scene", "field": "meadow scene", "garden": "garden scene",
+}
 
 
 def _text(c: Column) -> Column:
@@ -27,17 +30,22 @@ def _list(c: Column) -> Column:
 
 
 def fallback_subject(setting: Column) -> Column:
-    """DSC-3: a subject from the setting alone: its scenery word, else its first four words and `scene`."""
-    seen = F.regexp_extract(F.lower(setting), rf"(?:^|[^a-z])({'|'.join(SCENERY)})(?:$|[^a-z])", 1)
-    start = F.array_join(F.slice(F.split(trimmed(setting), r"\s+"), 1, 4), " ")
+    """DSC-3: a subject from the setting alone: by its scenery, else at most four words of its first clause, without `outdoor` and `indoor`, and `scene`."""
+    low = F.lower(trimmed(setting))
+    known = F.when(F.lit(False), "")
+    for part, name in SCENERY.items():
+        known = known.when(low.contains(part), name)
+    clause = trimmed(F.split_part(setting, F.lit(","), F.lit(1)))
+    clause = trimmed(F.regexp_replace(F.regexp_replace(clause, "(?i)^outdoor ", ""), r"(?i)^\s*indoor ", ""))
+    start = F.array_join(F.slice(F.filter(F.split(clause, r"\s+"), lambda w: w != ""), 1, 4), " ")
+    said = F.when(start == "", "scene").otherwise(start)
     none = F.array().cast("array<string>")
-    return F.struct(F.when(seen != "", seen).otherwise(F.concat(start, F.lit(" scene"))).alias("name"), none.alias("colors"), none.alias("distinguishing"))
+    return F.struct(F.coalesce(known, F.when(F.lower(said).contains("scene"), said).otherwise(F.concat(said, F.lit(" scene")))).alias("name"), none.alias("colors"), none.alias("distinguishing"))
 
 
 def parse_description(raw: Column) -> Column:
     """DSC-2: struct(ok, reason, d). Null counts as missing; subjects must be a list of objects; unnamed subjects go."""
 
-
     def read(x: Column) -> Column:
         text, d = x["text"], x["d"]
         kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(text), "$.subjects", "variant"))

@@ -15,8 +15,12 @@ from .judging import failing, feedback, keep_best
 from .text_rules import bad_output, score_reason
 
 REPLY = T.StructType([T.StructField("raw", T.StringType()), T.StructField("finish_reason", T.StringType()), T.StructField("error", T.StringType()), T.StructField("elapsed_s", T.DoubleType())])
-#: Temperatures by style.
-TEMPERATURE = {"formal": 0.3, "sarcastic": 0.7, "humorous_tech": 0.8, "humorous_non_tech": 0.8}
+# Temperatures by style and of others, how much warmer later candidates are, the reasons after which a retry stays cool, and the tokens that a retry gets on top.
+TEMPERATURE = {"formal": 0.5, "sarcastic": 0.70, "humorous_tech": 0.70, "humorous_non_tech": 0.64}
+OTHER_TEMPERATURE, POOL_DELTA, WARMEST, COOL, COOLING, LEAST = 0.75, 0.15, 0.97, 0.25, 0.08, 0.2
+COOL_REASONS = ("MetaLeak", "SceneMismatch", "TooLong")
+MORE_TOKENS = {"Truncated": 220, "TooLong": 40}
+OTHER_TOKENS = 60
 
 
 def call_model(prompts: DataFrame, call: Callable[[list[dict]], list[tuple[str, str]]], tasks: int, batch: int = 16) -> DataFrame:
@@ -40,25 +44,36 @@ def call_model(prompts: DataFrame, call: Callable[[list[dict]], list[tuple[str,
     return prompts.repartition(tasks).mapInPandas(run, T.StructType([*prompts.schema.fields, *REPLY.fields]))
 
 
-def temperature(style, pool_index, attempt):
-    """RNK-2: later candidates a little warmer, retries 0.08 cooler an attempt; columns in, column out."""
-    base = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in TEMPERATURE.items() for x in pair]), style), F.lit(0.7))
-    warm = F.when(pool_index > 0, F.least(base + 0.1 * pool_index, F.lit(0.97))).otherwise(base)
-    return F.greatest(F.bround(warm - 0.08 * (attempt - 1), 2), F.lit(0.0))
+def temperature(style, pool_index, attempt, reason):
+    """RNK-2: later candidates warmer, each retry cooler; a retry after a leak, a wrong scene or a text too long stays cool. Columns in, column out.
+
+    ``reason`` is why the attempt before was refused; it doesn't count for the first.
+    """
+    base = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in TEMPERATURE.items() for x in pair]), style), F.lit(OTHER_TEMPERATURE))
+    warm = F.when(pool_index > 0, F.least(base + POOL_DELTA, F.lit(WARMEST))).otherwise(base)
+    now = warm - COOLING * (attempt - 1)
+    cool = (attempt > 1) & F.coalesce(reason, F.lit("")).isin(*COOL_REASONS)
+    return F.bround(F.when(cool, F.least(now, F.lit(COOL))).otherwise(F.least(F.greatest(now, F.lit(LEAST)), F.lit(WARMEST))), 6)
+
+
+def token_limit(base, attempt, reason):
+    """RNK-2: tokens that an attempt may use: more on a retry, most after a text that was cut."""
+    more = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in MORE_TOKENS.items() for x in pair]), F.coalesce(reason, F.lit(""))), F.lit(OTHER_TOKENS))
+    return base + F.when(attempt > 1, more).otherwise(0)
 
 
-def attempt_rounds(prompts: DataFrame, call, rules: RuleBook, tasks: int, most: int = 3) -> DataFrame:
+def attempt_rounds(prompts: DataFrame, call, rules: RuleBook, tasks: int, most: int = 3, base_tokens: int = 140) -> DataFrame:
     """INF-2: every prompt (task_id, style, pool_index, prompt) called until its caption is good or ``most`` times; the last reply of each.
 
     Each round works on the failing rows only and is checkpointed, so a lost executor repeats one round's calls at most.
     """
-    open_, done = prompts.withColumn("attempt", F.lit(1)), None
+    open_, done = prompts.withColumn("_before", F.lit("")), None
     for n in range(1, most + 1):
-        asked = open_.withColumn("attempt", F.lit(n)).withColumn("temperature", temperature(F.col("style"), F.col("pool_index"), F.lit(n)))
+        asked = open_.withColumns({"attempt": F.lit(n), "temperature": temperature(F.col("style"), F.col("pool_index"), F.lit(n), F.col("_before")), "max_tokens": token_limit(F.lit(base_tokens), F.lit(n), F.col("_before"))}).drop("_before")
         replies = call_model(asked, call, tasks).withColumn("reason", F.when(F.col("error").isNotNull(), F.col("error")).otherwise(bad_output(F.col("raw"), F.col("style"), rules))).checkpoint()
         good = replies if n == most else replies.where("reason = ''")
         done = good if done is None else done.unionByName(good)
-        open_ = replies.where("reason <> ''").select(*prompts.columns)
+        open_ = replies.where("reason <> ''").select(*prompts.columns, F.col("reason").alias("_before"))
         if n < most and open_.isEmpty():
             break
     return done
@@ -78,7 +93,7 @@ def judge_rounds(captions: DataFrame, judge: Callable[[DataFrame], DataFrame], r
             break
         last = judge(rewrite(bad.select("task_id", "style", "text", "feedback")).select("task_id", "style", "text")).withColumn("round", F.lit(n)).checkpoint()
         every = every.unionByName(last)
-    best = keep_best(every, settings, most)
+    best = keep_best(every, settings, most, rules)
     return best.join(every.select("task_id", "style", "round", "text"), ["task_id", "style", "round"])
 
 

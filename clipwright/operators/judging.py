@@ -323,7 +323,7 @@ def failure_report(scores: DataFrame, bar: float) -> DataFrame:
 
 def failing(scores: DataFrame, settings: Settings) -> Column:
     """Whether a judged score fails: skipped, not passing, or below a floor."""
-    return F.col("skipped") | ~passes(settings.judge_min_score) | (F.col("accuracy") < settings.accuracy_floor) | (F.col("style_match") < settings.style_floor)
+    return F.col("skipped") | ~passes(settings.judge_min_score) | (mean_score() < settings.quality_floor) | (F.col("accuracy") < settings.accuracy_floor) | (F.col("style_match") < settings.style_floor)
 
 
 def failures(scores: DataFrame, captions: DataFrame, rules: RuleBook, settings: Settings) -> DataFrame:
@@ -334,11 +334,16 @@ def failures(scores: DataFrame, captions: DataFrame, rules: RuleBook, settings:
 
 
 def merge_vision(scores: DataFrame, vision: DataFrame, settings: Settings) -> DataFrame:
-    """JON-5: accuracy from the vision judge where it parsed, is confident, is lower and below the demote bar; style stays, the leak flag is reset."""
+    """JON-5: accuracy from the vision judge where it parsed, is confident, is lower and below the demote bar; style stays, the leak flag is reset.
+
+    Skipped captions stay as they are, and blank ones if ``scores`` has their text.
+    """
     v = vision.select("task_id", "style", F.col("accuracy").alias("_va"), F.col("issue").alias("_vi"), F.col("usable").alias("_u"))
     joined = scores.join(v, ["task_id", "style"], "left")
-    low = ~F.col("skipped") & F.coalesce(F.col("_u") & (F.col("_va") < F.col("accuracy")) & (F.col("_va") < settings.vision_demote), F.lit(False))
-    issue = F.concat_ws("; ", F.nullif("issue", F.lit("")), F.concat(F.lit("vision: "), F.coalesce("_vi", F.lit(""))))
+    seen = trimmed(F.coalesce("text", F.lit(""))) != "" if "text" in scores.columns else F.lit(True)
+    low = ~F.col("skipped") & seen & F.coalesce(F.col("_u") & (F.col("_va") < F.col("accuracy")) & (F.col("_va") < settings.vision_demote), F.lit(False))
+    note = F.coalesce(F.nullif("_vi", F.lit("")), F.lit("vision accuracy below text accuracy"))
+    issue = F.concat_ws("; ", F.nullif("issue", F.lit("")), F.concat(F.lit("vision: "), note))
     merged = joined.withColumns({"_low": low, "issue": F.when(low, issue).otherwise(F.col("issue")), "meta_leak": ~low & F.col("meta_leak"), "accuracy": F.when(low, F.col("_va")).otherwise(F.col("accuracy"))})
     return merged.withColumnRenamed("_low", "demoted").drop("_va", "_vi", "_u")
 
@@ -357,13 +362,17 @@ def resolve_attempts(attempts: DataFrame, no_retry: tuple[str, ...] = ("auth", "
     return live.withColumn("ok", ok).withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r", "_stop")
 
 
-def keep_best(rounds: DataFrame, settings: Settings, most: int = 2) -> DataFrame:
+def keep_best(rounds: DataFrame, settings: Settings, most: int = 2, rules: RuleBook | None = None) -> DataFrame:
     """WIN-4: of each (task_id, style) the caption that stands after at most ``most`` retry rounds.
 
     Round 0 is the first caption. A later round replaces the best if the best is skipped, if its mean is higher, or if it no longer fails; a skipped
-    round is ignored; nothing changes once the best doesn't fail. The fold runs over an array of at most ``most`` + 1 rows.
+    round is ignored; nothing changes once the best doesn't fail. With ``rules``, a text that breaks a rule fails too, against its facts if ``rounds`` has them.
+    The fold runs over an array of at most ``most`` + 1 rows.
     """
-    item = F.struct("round", mean_score().alias("mean"), failing(rounds, settings).alias("fails"), "skipped", "accuracy", "style_match")
+    fails = failing(rounds, settings)
+    if rules is not None:
+        fails = fails | (rules_of.score_reason(F.col("text"), F.col("style"), rules, F.col("facts") if "facts" in rounds.columns else None) != "ok")
+    item = F.struct("round", mean_score().alias("mean"), fails.alias("fails"), "skipped", "accuracy", "style_match")
     kept = rounds.where(F.col("round") <= most).groupBy("task_id", "style").agg(F.array_sort(F.collect_list(item)).alias("r"))
 
     def step(best: Column, new: Column) -> Column:
@@ -374,10 +383,15 @@ def keep_best(rounds: DataFrame, settings: Settings, most: int = 2) -> DataFrame
     return kept.select("task_id", "style", best.alias("b")).select("task_id", "style", "b.round", "b.mean", "b.fails", "b.accuracy", "b.style_match")
 
 
-def feedback(df: DataFrame) -> Column:
-    """MSG-3: what a retry is told: an unfinished or wrong scene, or the scores."""
-    wrong = F.col("meta_leak") | F.lower(F.coalesce("issue", F.lit(""))).rlike(alternation(("incomplete", "unfinished", "mismatch", "truncated")))
-    scored = F.format_string("Scores: accuracy %.2f, style %.2f. %s", F.col("accuracy"), F.col("style_match"), F.coalesce("issue", F.lit("")))
-    return F.when(wrong, "The last caption was unfinished or about another scene. Write a complete one from the facts.").otherwise(trimmed(scored))
+#: Parts of an issue that tell of an unfinished caption or another scene.
+WRONG_SCENE = ("scene", "wrong subject", "incomplete", "describe", "meta")
 
 
+def feedback(df: DataFrame) -> Column:
+    """MSG-3: what a retry is told: that the caption was unfinished or about another scene, or its scores and their mean; with the issue, or why it was skipped."""
+    given = lambda c: F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit("")) if c in df.columns else F.lit(None).cast("string")
+    issue = F.coalesce(given("issue"), given("skip_reason"), F.lit("below the bar for accuracy or style"))
+    wrong = F.col("meta_leak") | F.lower(issue).rlike(alternation(WRONG_SCENE))
+    told = F.concat(F.lit("The last caption was unfinished, held notes or was about another scene (issue: "), issue, F.lit("). Write one finished caption of one or two sentences about the primary subject, from the facts alone."))
+    scored = F.format_string("The last caption scored accuracy %.2f and style %.2f (mean %.2f). Issue: %s. Rewrite it from the facts alone and keep its style.", F.col("accuracy"), F.col("style_match"), mean_score(), issue)
+    return F.when(wrong, told).otherwise(scored)

@@ -6,10 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import STYLES, Settings
-from ..functions.text import trimmed
-
-#: Content types that are no video.
-REFUSED_TYPES = ("application/json", "application/xml", "application/xhtml+xml", "application/javascript")
+from ..functions.text import let, trimmed
+
+# Content types that are no video (any `text/` type is refused too), codes and labels of failures, and the texts that mark a failure.
+REFUSED_TYPES = ("application/json", "application/xml")
+DESCRIBE_CODES = {"EmptyResponse": "empty", "empty": "empty", "Truncated": "truncated", "truncated": "truncated", "InvalidJSON": "truncated"}
+CAPTION_CODES = {"EmptyResponse": "empty", "Truncated": "truncated", "MetaLeak": "meta_leak", "TooShort": "too_short", "TooLong": "too_long"}
+CODE_LABELS = {"empty": "EmptyResponse", "truncated": "Truncated", "meta_leak": "MetaLeak", "too_short": "TooShort", "too_long": "TooLong", "api": "APIError", "timeout": "Timeout"}
+FAILURE_PREFIXES = {"describe": "Failed to describe video:", "caption": "Failed to caption:", "process": "Failed to process video:"}
+TASK_FAILURES = {"invalid_task": "Invalid task input.", "unsupported_style": "Unsupported style requested."}
 #: Most rows of a side that is broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 100_000
 
@@ -56,36 +61,70 @@ def refused_type(content_type: Column) -> Column:
     return kind.isin(*REFUSED_TYPES) | kind.startswith("text/")
 
 
-def provider(model: Column, direct: tuple[str, ...] = ("gpt-", "o1", "claude-", "gemini-")) -> Column:
-    """TSK-7: struct(provider, bare_id): direct by prefix, the part before a slash, else the default."""
-    is_direct = F.lit(False)
-    for p in direct:
-        is_direct = is_direct | model.startswith(p)
-    return F.when(is_direct, F.struct(F.lit("direct").alias("provider"), model.alias("bare_id"))).when(
-        model.contains("/"), F.struct(F.split_part(model, F.lit("/"), F.lit(1)).alias("provider"), F.regexp_extract(model, r"([^/]*)$", 1).alias("bare_id"))
-    ).otherwise(F.struct(F.lit("default").alias("provider"), model.alias("bare_id")))
+def provider(model: Column) -> Column:
+    """TSK-7: struct(provider, bare_id, no_thinking) of a model id.
+
+    `google-ai/...` and `gemma-...` are called directly, other ids with a slash through the router, and `accounts/...` and plain ids at the default
+    provider. Only a direct id loses its first part. Hybrid reasoning models are asked not to think.
+    """
+    slug = trimmed(F.coalesce(model, F.lit("")))
+    low = F.lower(slug)
+    own_path = low.startswith("accounts/")
+    direct = ~own_path & (low.startswith("google-ai/") | low.startswith("gemma-"))
+    name = F.when(direct, "direct").when(~slug.startswith("accounts/") & slug.contains("/"), "router").otherwise("default")
+    bare = F.when(direct & low.startswith("google-ai/"), F.regexp_replace(slug, r"^[^/]*/", "")).otherwise(slug)
+    return F.struct(name.alias("provider"), bare.alias("bare_id"), (low.contains("qwen") | low.contains("kimi")).alias("no_thinking"))
 
 
 # --- messages ------------------------------------------------------------------------------------------------------
 
 
-def public_messages(failures: DataFrame, messages: DataFrame) -> DataFrame:
-    """MSG-1: the text for each failure (kind, style) from ``messages`` (kind, style, message), a table of kinds times styles; unknown styles read as formal.
+def failure_kind(text: Column) -> Column:
+    """The kind of failure that a text reports, or null for a caption: by its prefix; any other `failed to` counts as a failed caption."""
+    kind = F.when(text.isin(*TASK_FAILURES.values()), "process")
+    for name, prefix in FAILURE_PREFIXES.items():
+        kind = kind.when(text.startswith(prefix), name)
+    return kind.when(F.lower(trimmed(text)).startswith("failed to"), "caption")
+
+
+def public_messages(captions: DataFrame, messages: DataFrame, friendly: bool = True) -> DataFrame:
+    """MSG-1: ``captions`` (text, style, ...) with message: what ships in place of the text.
 
-    A text that begins with `failed to` never ships.
+    A text that reports a failure gets the message of its kind and style from ``messages`` (kind, style, message), unknown styles that of formal, and a
+    kind without any message a general one; other texts ship trimmed. With ``friendly`` off, texts ship as they are. A null text counts as a failed caption.
     """
-    small = messages.select(F.col("kind"), F.col("style").alias("_s"), "message")
+    if not friendly:
+        return captions.withColumn("message", F.coalesce("text", F.lit("")))
+    small = messages.select(F.col("kind").alias("_k"), F.col("style").alias("_s"), F.col("message"))
     if messages.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         small = F.broadcast(small)
-    known = failures.withColumn("_s", F.when(F.col("style").isin(*STYLES), F.col("style")).otherwise("formal"))
-    out = known.join(small, ["kind", "_s"], "left").drop("_s")
-    return out.withColumn("message", F.when(~F.lower(F.coalesce("message", F.lit("failed to"))).startswith("failed to"), F.col("message")).otherwise("This clip has no caption."))
+    kind = F.when(trimmed(F.coalesce("text", F.lit(""))) == "", "caption").otherwise(failure_kind(F.col("text")))
+    known = captions.drop("message").withColumns({"_k": kind, "_s": F.when(F.col("style").isin(*STYLES), F.col("style")).otherwise("formal")})
+    out = known.join(small, ["_k", "_s"], "left")
+    return out.withColumn("message", F.when(F.col("_k").isNull(), trimmed(F.col("text"))).otherwise(F.coalesce("message", F.lit("This clip has no caption.")))).drop("_k", "_s")
+
+
+def _coded(reason: Column, codes: dict[str, str]) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in codes.items() for x in pair]), reason)
+
+
+def describe_code(reason: Column) -> Column:
+    """MSG-2: the code of a failed description: by name, else a timeout, else the API's failure."""
+    known = F.coalesce(reason, F.lit(""))
+    return F.coalesce(_coded(known, DESCRIBE_CODES), F.when(F.lower(known).contains("timeout"), "timeout").otherwise("api"))
+
 
+def caption_code(reason: Column) -> Column:
+    """MSG-2: the code of a failed caption."""
+    return F.coalesce(_coded(F.coalesce(reason, F.lit("")), CAPTION_CODES), F.lit("api"))
 
-def failure_code(reason: Column) -> Column:
-    """MSG-2."""
-    low = F.lower(F.coalesce(reason, F.lit("")))
-    return F.when(low == "", "none").when(low.contains("timeout"), "timeout").when(low.contains("json"), "invalid_json").when(low.contains("trunc"), "truncated").when(low.contains("empty"), "empty").otherwise("other")
+
+def failure_text(kind: str, code: Column, detail: Column) -> Column:
+    """MSG-2: the text that reports a failure (kind: describe, caption or process): its detail if there is one, else the label of its code; without code `Unknown`."""
+    given = F.nullif(F.coalesce(detail, F.lit("")), F.lit(""))
+    label = F.coalesce(given, _coded(code, CODE_LABELS) if kind != "process" else code, F.lit("Unknown"))
+    told = F.concat(F.lit(f"{FAILURE_PREFIXES[kind]} "), label)
+    return F.coalesce(_coded(code, TASK_FAILURES), told) if kind == "process" else told
 
 
 def prompt(hint: Column, facts: Column, nudge: Column, feedback: Column) -> Column:
@@ -98,9 +137,16 @@ def prompt(hint: Column, facts: Column, nudge: Column, feedback: Column) -> Colu
 
 
 def frame_budget(duration_s: Column, settings: Settings) -> Column:
-    """FRM-1: the least number for short clips, else one each interval, within bounds."""
-    n = F.bround(duration_s / settings.frames_interval_s, 0).cast("int")
-    return F.when(duration_s < settings.short_clip_s, settings.frames_min).otherwise(F.greatest(F.lit(settings.frames_min), F.least(F.lit(settings.frames_max), n)))
+    """FRM-1: one frame each interval within bounds, both by whether the clip is short; the least number where the duration isn't known; or a fixed number."""
+    if settings.fixed_frames is not None:
+        return F.lit(max(settings.fixed_frames, 1))
+    d = F.coalesce(duration_s, F.lit(0.0))
+
+    def within(interval: float, bounds: tuple[int, int]) -> Column:
+        low = max(bounds[0], 1)
+        return F.when(d <= 0, low).otherwise(F.greatest(F.lit(low), F.least(F.lit(max(bounds[1], low)), F.bround(d / max(interval, 0.5), 0).cast("int"))))
+
+    return F.when(d >= settings.short_clip_s, within(settings.long_interval_s, settings.long_frames)).otherwise(within(settings.short_interval_s, settings.short_frames))
 
 
 def frame_width(duration_s: Column, settings: Settings) -> Column:
@@ -115,15 +161,15 @@ def _spread(count: Column, n: Column, last: Column, digits: int) -> Column:
 
 
 def uniform_plan(count: Column, n: Column) -> Column:
-    """FRM-3: frame numbers spread over a clip; none of no frames, the first if only one is asked for."""
+    """FRM-3: frame numbers spread over a clip; the first if only one is asked for, none of no frames."""
     spread = F.transform(_spread(count, n, count - 1, 0), lambda x: x.cast("int"))
-    none = F.array().cast("array<int>")
-    return F.when(count <= 0, none).when(n <= 1, F.array(F.lit(0))).otherwise(F.array_sort(F.array_distinct(spread)))
+    return F.when(n <= 1, F.array(F.lit(0))).when(count <= 0, F.array().cast("array<int>")).otherwise(F.array_sort(F.array_distinct(spread)))
 
 
 def time_plan(duration_s: Column, n: Column) -> Column:
-    """FRM-4: milliseconds spread over a clip, to a tenth."""
-    return F.when(n <= 1, F.array(F.lit(0.0))).otherwise(F.array_sort(F.array_distinct(_spread(duration_s, n, duration_s * 1000, 1))))
+    """FRM-4: milliseconds spread over a clip, to a tenth; none without a duration."""
+    none = F.array().cast("array<double>")
+    return F.when(n <= 1, F.array(F.lit(0.0))).when(F.coalesce(duration_s, F.lit(0.0)) <= 0, none).otherwise(F.array_sort(F.array_distinct(_spread(duration_s, n, duration_s * 1000, 1))))
 
 
 def scene_scores(samples: DataFrame) -> DataFrame:
@@ -137,29 +183,40 @@ def scene_scores(samples: DataFrame) -> DataFrame:
 
 
 def scene_frames(scores: DataFrame, threshold: float) -> DataFrame:
-    """FRM-6: (task_id, frames): first and last frame and the middle of each segment between cuts. ``scores`` has frame_count."""
-    w = Window.partitionBy("task_id").orderBy("sample_idx")
-    first = F.row_number().over(w) == 1
-    cuts = scores.withColumn("_cut", first | (F.col("score") >= threshold)).where("_cut")
-    ends = F.coalesce(F.lead("sample_idx").over(w), F.col("frame_count"))
-    middles = cuts.withColumn("_mid", F.greatest(F.floor((F.col("sample_idx") + ends - 1) / 2), F.lit(0)).cast("int"))
-    kept = middles.groupBy("task_id").agg(F.collect_set("_mid").alias("m"), F.max("frame_count").alias("n"))
-    return kept.select("task_id", F.array_sort(F.array_union(F.array(F.lit(0), (F.col("n") - 1).cast("int")), "m")).alias("frames"))
+    """FRM-6: (task_id, frames): first and last frame and the middle of each segment between cuts. ``scores`` has frame_count.
+
+    Cuts are the first sample, the samples whose score reaches the threshold, and the last frame, which is a segment of its own. A clip without frames has none.
+    A task's array holds its cuts, which its samples bound.
+    """
+    first = F.row_number().over(Window.partitionBy("task_id").orderBy("sample_idx")) == 1
+    cuts = scores.withColumn("_cut", first | (F.col("score") >= threshold)).where("_cut").groupBy("task_id").agg(F.collect_set(F.col("sample_idx").cast("int")).alias("c"), F.max("frame_count").cast("int").alias("n"))
+    last = F.greatest(F.col("n") - 1, F.lit(0))
+    bounds = cuts.select("task_id", "n", last.alias("last"), F.array_sort(F.array_union("c", F.array(last, last + 1))).alias("b"))
+    middles = F.zip_with(F.slice("b", F.lit(1), F.size("b") - 1), F.slice("b", F.lit(2), F.size("b") - 1), lambda start, end: F.floor((start + end - 1) / 2).cast("int"))
+    frames = F.array_sort(F.array_union(F.array(F.lit(0), F.col("last")), middles))
+    return bounds.select("task_id", F.when(F.col("n") > 0, frames).otherwise(F.array().cast("array<int>")).alias("frames"))
 
 
 def merge_frames(preferred: Column, filler: Column, n: Column) -> Column:
-    """FRM-7: both lists within a budget: first and last stay, the rest evenly."""
+    """FRM-7: both lists within a budget: first and last stay, the places between go evenly to the frames between."""
     every = F.array_sort(F.array_union(preferred, filler))
-    step = (F.size(every) - 1) / F.greatest(n - 1, F.lit(1))
-    picked = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.get(every, F.bround(i * step, 0).cast("int")))
-    return F.when(F.size(every) <= n, every).when(n <= 1, F.slice(every, 1, 1)).otherwise(F.array_distinct(picked))
+
+    def within(x: Column) -> Column:
+        inner, slots = F.size(x) - 2, n - 2
+        ends = F.array(F.get(x, F.lit(0)), F.get(x, F.size(x) - 1))
+        at = lambda i: F.when(slots > 1, F.bround(i * (inner - 1) / F.greatest(slots - 1, F.lit(1)), 0)).otherwise(F.floor(inner / 2)).cast("int")
+        picked = F.transform(F.sequence(F.lit(0), F.greatest(slots - 1, F.lit(0))), lambda i: F.get(x, at(i) + 1))
+        return F.when(F.size(x) <= n, x).when(n == 1, F.slice(x, 1, 1)).when(slots <= 0, ends).otherwise(F.array_sort(F.array_union(ends, picked)))
+
+    return F.when(n <= 0, F.slice(every, 1, 0)).otherwise(let(every, within))
 
 
 def frame_plan(mode: Column, count: Column, n: Column, scene: Column, duration_s: Column) -> Column:
-    """FRM-8: struct(kind, frames, times): by scenes, by frame numbers, or by time where the number of frames is unknown."""
+    """FRM-8: struct(kind, frames, times): by scenes, by frame numbers, by time where the number of frames is unknown, or the first frames as they come."""
     none = F.array().cast("array<int>")
-    kind = F.when((mode == "scene") & (count > 0) & scene.isNotNull(), "scene").when(count > 0, "uniform").otherwise("time")
-    frames = F.when(kind == "scene", merge_frames(scene, uniform_plan(count, n), n)).when(kind == "uniform", uniform_plan(count, n)).otherwise(none)
+    cut = (mode == "scene") & (count > 0) & (n > 1) & scene.isNotNull() & (F.size(scene) > 0)
+    kind = F.when(cut, "scene").when((n <= 1) | (count > 0), "uniform").when(F.coalesce(duration_s, F.lit(0.0)) > 0, "time").otherwise("first")
+    frames = F.when(kind == "scene", merge_frames(scene, uniform_plan(count, n), n)).when(kind == "uniform", uniform_plan(count, n)).when(kind == "first", F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: i)).otherwise(none)
     return F.struct(kind.alias("kind"), frames.alias("frames"), F.when(kind == "time", time_plan(duration_s, n)).alias("times"))
 
 

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import STYLES
+from ..config import STYLES, RuleBook, Settings
+from ..operators.judging import totals
+
+#: Most phrases of a rule table, which goes to the driver and into the rules' expressions.
+MOST_PHRASES = 10_000
 
 
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:
@@ -49,6 +53,23 @@ def read_events(spark: SparkSession, path: str, stream: bool = False) -> DataFra
     return (spark.readStream if stream else spark.read).schema(EVENTS).json(path)
 
 
+def read_rules(phrases: DataFrame) -> RuleBook:
+    """The rules with the lists of a table (list, phrase), by the names of RuleBook's fields; lists that it lacks keep their defaults.
+
+    Phrases are taken in lower case and in order. More than MOST_PHRASES rows, or a list of another name, are an error.
+    """
+    rows = phrases.select("list", F.lower("phrase").alias("phrase")).where(F.col("phrase") != "").distinct().limit(MOST_PHRASES + 1).collect()
+    if len(rows) > MOST_PHRASES:
+        raise ValueError(f"more than {MOST_PHRASES} phrases")
+    found: dict[str, list[str]] = {}
+    for r in rows:
+        found.setdefault(r["list"], []).append(r["phrase"])
+    lists = {k for k, v in vars(RuleBook()).items() if isinstance(v, tuple)}
+    if set(found) - lists:
+        raise ValueError(f"no such list: {', '.join(sorted(set(found) - lists))}")
+    return RuleBook(**{k: tuple(sorted(v)) for k, v in found.items()})
+
+
 def nested_results(captions: DataFrame) -> DataFrame:
     """SNK-1: one row a task with its captions as a map; of a style written twice the last in text order stays. Groups are as large as a task's styles."""
     one = captions.groupBy("clip_index", "task_id", "style").agg(F.max("text").alias("text"))
@@ -59,17 +80,37 @@ def write_results(captions: DataFrame, path: str) -> None:
     nested_results(captions).orderBy("clip_index").select("task_id", "captions").write.json(path)
 
 
-def write_descriptions(descriptions: DataFrame, path: str, source: str) -> None:
-    """SNK-2: non-empty texts with where they came from."""
-    descriptions.where(F.coalesce("text", F.lit("")) != "").select("task_id", "text", F.lit(source).alias("source")).write.json(path)
+def write_descriptions(descriptions: DataFrame, path: str, source: str, updated_from_live: bool = False) -> None:
+    """SNK-2: non-empty texts, each with where it came from and whether the cache was updated from a live run."""
+    kept = descriptions.where(F.coalesce("text", F.lit("")) != "")
+    kept.select("task_id", "text", F.lit(source).alias("source"), F.lit(updated_from_live).alias("updated_from_live")).write.json(path)
 
 
-def nested_report(panel: DataFrame) -> DataFrame:
-    """SNK-3: one row a task with its styles' scores, in the order of styles."""
+def nested_report(panel: DataFrame, clips: DataFrame | None = None) -> DataFrame:
+    """SNK-3: one row a task with its styles' scores, in the order of styles; with ``clips`` (task_id, distinctness, note, parse_error) also those."""
     order = F.array_position(F.array(*map(F.lit, STYLES)), F.col("style"))
-    item = F.struct(order.alias("o"), "style", "accuracy", "style_match", "issue", "meta_leak", "skipped")
+    item = F.struct(order.alias("o"), "style", "accuracy", "style_match", "issue", "meta_leak", "skipped", *(["skip_reason"] if "skip_reason" in panel.columns else []))
     rows = panel.groupBy("task_id").agg(F.array_sort(F.collect_list(item)).alias("s"))
-    return rows.select("task_id", F.transform("s", lambda x: x.dropFields("o")).alias("captions"))
+    out = rows.select("task_id", F.transform("s", lambda x: x.dropFields("o")).alias("captions"))
+    if clips is None:
+        return out
+    told = clips.select("task_id", F.col("distinctness").alias("cross_style_distinctness"), F.col("note").alias("distinctness_note"), "parse_error")
+    return out.join(told, "task_id", "left")
+
+
+def report_header(panel: DataFrame, scores: DataFrame, settings: Settings, model: str, described: bool) -> DataFrame:
+    """SNK-3: one row: model, bar, passes, captions and mean of the panel, and the same of each judge in ``scores`` (judge_model), whose number is that of models."""
+    whole = totals(panel, settings.judge_min_score).select(F.struct("passes", "total", F.col("mean").alias("mean_score")).alias("t"))
+    judges = totals(scores, settings.judge_min_score, "judge_model").select(F.struct(F.col("judge_model").alias("model"), "passes", "total", F.col("mean").alias("mean_score")).alias("j"))
+    listed = judges.agg(F.array_sort(F.collect_list("j")).alias("per_judge"))
+    given = [F.lit(model).alias("model"), F.lit(settings.judge_min_score).alias("min_score"), F.lit(described).alias("descriptions_provided")]
+    return whole.select(*given, "t.*").join(F.broadcast(listed)).withColumn("panel_models", F.transform("per_judge", lambda x: x["model"]))
+
+
+def write_report(panel: DataFrame, scores: DataFrame, clips: DataFrame, path: str, settings: Settings, model: str, described: bool = True) -> None:
+    """SNK-3: the judge report as JSON lines: its header in `summary`, a line for each task in `clips`, so that no row holds all tasks."""
+    report_header(panel, scores, settings, model, described).write.json(f"{path}/summary")
+    nested_report(panel, clips).write.json(f"{path}/clips")
 
 
 def event_rows(stages: DataFrame, now: Column | None = None) -> DataFrame:

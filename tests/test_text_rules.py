@@ -26,13 +26,17 @@ def col(spark, column, *rows, names=("text", "style", "facts")):
         ("  \n ", "empty"),
         ("Setting: a bay. More words follow here.", "describe-dump"),
         ("First the camera: pans, then background: cliffs.", "describe-dump"),
-        ("Plan: two lines about a boat on the water.", "meta-leak"),
+        ("Outline: two lines about a boat on the water.", "meta-leak"),
         ("- a boat on the bay near the rocks today.", "meta-leak"),
         ('He said "row and left the bay in the evening light.', "meta-leak"),
         ("A white boat crosses the wide bay and then it goes to the.", "meta-leak"),
         ("A white boat crosses the wide quiet bay at", "incomplete"),
         ("A boat sails.", "incomplete"),
-        ("The white boat crosses the bay on a displa.", "incomplete"),
+        ("The white boat crosses the bay on a backgr.", "incomplete"),
+        ("## A heading about a boat on the quiet bay.", "meta-leak"),
+        ("2) A boat on the quiet bay near the rocks.", "meta-leak"),
+        ("A boat (7) drifts past the rocks and rope (3) lies about.", "meta-leak"),
+        ("A white boat crosses the wide quiet bay today,.", "meta-leak"),
         (GOOD, ""),
     ],
 )
@@ -45,11 +49,11 @@ def test_hard_fail(spark, text, reason):
     [
         ("Failed to write anything at all here.", "formal", "error"),
         ("Video caption (missing) for this clip of ours.", "formal", "placeholder"),
-        ("The video shows a boat that crosses the bay at dawn.", "formal", "neutral-copy"),
+        ("Footage of a boat that crosses the bay at dawn.", "formal", "neutral-copy"),
         (GOOD, "formal", "ok"),
         (GOOD, "humorous_tech", "no-tech-joke"),
-        ("The boat deploys its sail like code on a Friday. Nobody planned a rollback today.", "humorous_tech", "ok"),
-        ("The boat needs a rollback before it meets the rocks. Nobody on deck minds it.", "humorous_non_tech", "tech-jargon"),
+        ("The boat wants a firmware patch before Friday. Nobody on deck minds that.", "humorous_tech", "ok"),
+        ("The boat needs a reboot before it meets the rocks. Nobody on deck minds it.", "humorous_non_tech", "tech-jargon"),
         ("word " * 60 + "end.", "formal", "too-long"),
     ],
 )
@@ -58,7 +62,7 @@ def test_score_reason(spark, text, style, reason):
 
 
 def test_bad_output_and_limits(spark):
-    rows = [("", "formal"), ("We need to write about a boat on the quiet bay.", "formal"), ("word " * 59 + "end.", "formal"), ("word " * 59 + "end.", "sarcastic"), (GOOD, "formal")]
+    rows = [("", "formal"), ("As requested, a boat rests on the quiet bay.", "formal"), ("word " * 59 + "end.", "formal"), ("word " * 59 + "end.", "sarcastic"), (GOOD, "formal")]
     assert col(spark, t.bad_output(F.col("text"), F.col("style"), RULES), *rows) == ["EmptyResponse", "MetaLeak", "TooLong", "", ""]
 
 
@@ -67,7 +71,7 @@ def test_last_characters_differ(spark):
 
 
 def test_scene_mismatch(spark):
-    rows = [("A kitten sleeps on the deck of the boat today.", "", FACTS), ("The boat drifts on.", "", FACTS), ("A red car races through a tunnel.", "", FACTS), ("A red car races.", "", ""), ("A red car races.", "", None)]
+    rows = [("A goat sleeps on the deck of the boat today.", "", FACTS), ("The boat drifts on.", "", FACTS), ("A red car races through a tunnel.", "", FACTS), ("A red car races.", "", ""), ("A red car races.", "", None)]
     assert col(spark, t.scene_mismatch(F.col("facts"), F.col("text"), RULES), *rows) == [True, False, True, False, False]
 
 
@@ -105,7 +109,7 @@ def test_salvage(spark):
     (found,) = col(spark, op.salvage_candidates(F.col("text"), RULES), (raw,))
     assert found[0] == "A small boat crosses the quiet bay at the first dawn." and GOOD in found and len(found) == len(set(found))
     assert col(spark, op.salvage_candidates(F.col("text"), RULES), ('{"caption": "A boat."}',), ("",), (None,)) == [["A boat.", '{"caption": "A boat."}', '{"caption": "A boat."}.'], [], []]
-    assert col(spark, op.normalised_reply(F.col("text"), F.lit("formal"), RULES), (f'"{GOOD}"',), (f"Plan: words\n\n{GOOD}",)) == [GOOD, GOOD]
+    assert col(spark, op.normalised_reply(F.col("text"), F.lit("formal"), RULES), (f'"{GOOD}"',), (f"Outline: words\n\n{GOOD}",)) == [GOOD, GOOD]
 
 
 def test_no_python_in_plans(spark):
