@@ -219,3 +219,39 @@ def test_vectors(spark, kind):
         mine = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
         assert [r.vec_id for r in mine] == order and np.allclose([r.score for r in mine], score[order])
     assert find(df.limit(0), df.limit(0), 7).count() == 0
+
+
+def test_tree_has_levels_and_waves(spark, monkeypatch):
+    """Many small leaves in several nodes, two pages a leaf, more leaves than the waves take."""
+    monkeypatch.setattr(vectors, "LEAF", 12)
+    monkeypatch.setattr(vectors, "PAGE", 9)
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(700, 6)) * 4 + 9 * rng.integers(0, 4, (700, 1)))
+    x[:40] = x[0]
+    df = vectors.usable(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, e array<double>"), "vec_id", "e")
+    got = vectors.tree_top_k(df, df.where("id % 50 = 0"), 9).collect()
+    for q in range(0, 700, 50):
+        score = x @ x[q]
+        order = [k for k in np.lexsort((np.arange(700), -score)) if k != q][:9]
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == order
+    tree = vectors.Routing.over(vectors._lifted(x[100:160], float((x * x).sum(1).max())))
+    assert len(tree.nodes) == 8 and len(tree.centres) == 60
+
+
+@pytest.mark.parametrize("case", ["long", "huge", "tiny"])
+def test_block_bounds_hold(spark, case):
+    """Vectors beyond 1,040 components, and components whose squares leave double precision."""
+    rng = np.random.default_rng(2)
+    x = rng.choice([-1.0, 1.0], (120, 4096)) if case == "long" else rng.normal(size=(120, 5)) * (1e200 if case == "huge" else 1e-200)
+    if case == "huge":
+        x[::7] *= 1e-250
+    df = vectors.usable(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, e array<double>"), "vec_id", "e")
+    got = vectors.block_nearest(df, df.where("id % 20 = 0"), 8).collect()
+    with np.errstate(over="ignore", invalid="ignore"):
+        for q in range(0, 120, 20):
+            score = np.nan_to_num((x * x[q]).cumsum(1)[:, -1], nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+            order = [k for k in np.lexsort((np.arange(120), -score)) if k != q][:8]
+            mine = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
+            assert [(r.vec_id, r.score) for r in mine] == [(k, score[k]) for k in order]
+    a, b = rng.integers(-127, 128, (3, 5000)).astype(np.int8), rng.integers(-127, 128, (4, 5000)).astype(np.int8)
+    assert (vectors.whole_product(a, b) == a.astype(np.int64) @ b.T.astype(np.int64)).all()
