@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import chunks, small_batches, stage, table
 
 #: Words in the dictionary, and documents whose words are counted for it.
-HOT, SAMPLE = 300_000, 25_000
+HOT, SAMPLE = 600_000, 25_000
 #: A match of more bytes is merged with a heap where it is split: the fold's cost grows with the square of a match's length.
 LONG = 1_024
 ALL = 1_000_000_000
@@ -119,7 +119,7 @@ def fold(words: Column, ranks: RankMap) -> Column:
             both = lambda a, b: F.array(F.get(literal[2], a), F.coalesce(F.get(literal[3], F.shiftleft(a, 8) + b), none))
             start = F.concat(F.array(edge, none), F.flatten(F.zip_with(codes, F.slice(codes, F.lit(2), F.lit(ALL)), both)), F.array(edge))
             parts = lambda acc: F.transform(F.filter(acc, lambda x: (x >= ranks.part) & (x != edge)), id_of)
-            return F.aggregate(codes, start, step, parts)
+            return F.aggregate(F.slice(codes, F.lit(2), F.lit(ALL)), start, step, parts)
 
         # Read as Latin-1, every byte is a character.
         chars = F.split(F.decode(F.encode(word, "utf-8"), "iso-8859-1"), "")
@@ -171,7 +171,20 @@ def splitter(pattern: str):
     return lambda text: whole(text) if PLAIN.search(text) else QUICK.findall(text)
 
 
-def hot_words(docs: DataFrame, pattern: str, ranks: RankMap, hot: int = HOT, sample: int = SAMPLE) -> dict[str, str]:
+class Dictionary:
+    """Words and their spelled ids; travels as two texts, and becomes a dictionary where it is used, once in a worker."""
+
+    def __init__(self, words: list[str], ids: list[str]):
+        self.words, self.ids, self._known = "\0".join(words), "\0".join(ids), None
+
+    def known(self) -> dict[str, str]:
+        if self._known is None:
+            self._known = dict(zip(self.words.split("\0"), self.ids.split("\0"), strict=True)) if self.ids else {}
+            self.words = self.ids = ""
+        return self._known
+
+
+def hot_words(docs: DataFrame, pattern: str, ranks: RankMap, hot: int = HOT, sample: int = SAMPLE) -> Dictionary:
     """The spelled ids of at most ``hot`` words, the most frequent in at most ``sample`` documents. ``docs``: (id, text)."""
     ids = docs.select(F.col("id").alias("_id")).where("id IS NOT NULL").orderBy(F.xxhash64("_id", F.lit(7)), "_id").limit(sample).distinct()
     drawn = docs.join(F.broadcast(ids), F.col("id") == F.col("_id")).select("text")  # at most ``sample`` ids of 8 bytes
@@ -184,13 +197,11 @@ def hot_words(docs: DataFrame, pattern: str, ranks: RankMap, hot: int = HOT, sam
                 yield pd.DataFrame({"word": found.index.to_numpy(object), "n": found.to_numpy()})
 
     counted = drawn.mapInPandas(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    chosen = stage(counted.where(F.length("word") < 64).orderBy(F.desc("n"), "word").limit(hot).select("word"))
+    chosen = stage(counted.where((F.length("word") < 64) & ~F.contains("word", F.lit("\0"))).orderBy(F.desc("n"), "word").limit(hot).select("word"))
     width = max(4, docs.sparkSession.sparkContext.defaultParallelism)
     told = chosen.repartition(width).select("word", spelled(F.element_at(fold(F.array("word"), ranks), 1)).alias("ids"))
-    out: dict[str, str] = {}
-    for part in stage(told).toArrow().to_batches(max_chunksize=20_000):
-        out.update(zip(part["word"].to_pylist(), part["ids"].to_pylist(), strict=True))
-    return out
+    rows = stage(told).toArrow()
+    return Dictionary(rows["word"].to_pylist(), rows["ids"].to_pylist())
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,7 +218,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     def looked_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Ids of known words; a word that isn't known leaves the number of its place in ``rare`` between two tildes."""
-        get, split, ranks = sent.value.get, splitter(pattern), pieces.value
+        get, split, ranks = sent.value.known().get, splitter(pattern), pieces.value
 
         def told(word: str, holes: dict[str, int]) -> str:
             raw = word.encode("utf-8", "replace")
