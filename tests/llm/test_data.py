@@ -193,10 +193,35 @@ def test_warc(spark):
     index = warc.capture_index(warc.read_archives(spark, warc.write_archives(pages)).drop("payload"), 3).collect()
     order = [(r.url_key, r.ts) for r in sorted(index, key=lambda r: r.part)]
     assert order == sorted(order) and len(order) == len(rows) and warc.url_key(urls[0]) == "org,b)/x"
+    with open(found[0].archive.removeprefix("file:"), "rb") as f:  # a record is read from its offset alone
+        at, record = next(warc.members(f.read()[found[0].position :]))
+    assert at == 0 and warc.parse_record(record)[0] == found[0].page_id
     none = pages.limit(0)
     assert warc.read_archives(spark, warc.write_archives(none)).count() == 0
 
 
+def test_capture_history_across_ranges(spark):
+    """One URL has most captures: it lies across all ranges, and its places go on from range to range."""
+    rows = [(f"a{k % 4}", k, "http://hot.org/" if k % 3 else f"http://x{k % 5}.org/", f"2000-01-01T00:{k % 60:02d}:00Z") for k in range(300)]
+    captures = spark.createDataFrame(rows, "archive string, position long, url string, ts string").repartition(5)
+    index = warc.capture_index(captures, 6).collect()
+    histories = {}
+    for r in index:
+        histories.setdefault(r.url_key, []).append((r.capture, r.ts, r.archive, r.position))
+    assert len(index) == 300 and len({r.part for r in index}) > 3
+    for h in histories.values():
+        assert [c for c, *_ in sorted(h)] == list(range(1, len(h) + 1)) and [x[1:] for x in sorted(h)] == sorted(x[1:] for x in h)
+    assert warc.capture_index(captures.limit(0)).count() == 0
+
+
+def test_members():
+    big = bytes(17 << 20) + b"x"
+    data = b"".join(warc.member(x) for x in (b"one", big, b"two" * 40_000))
+    assert all(not warc.member(x)[-1] for x in (b"one", big)) and [x for _, x in warc.members(data)] == [b"one", big, b"two" * 40_000]
+    with pytest.raises(ValueError):
+        list(warc.members(data[:-9]))
+
+
 def test_loser_tree():
     rng = random.Random(6)
     for k in (0, 1, 2, 5, 8):
