@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TokenTable, chunks, fresh, stage, table
+from .common import TokenTable, chunks, fresh, small_batches, stage, table
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 36, 7
@@ -33,6 +33,8 @@ PLACES = 504
 NEAR = 0.74
 #: Texts of one band that a tile compares with as many others, on average.
 TILE = 1_024
+#: Most rows of a side that is broadcast; at most 40 bytes each.
+BROADCAST_ROWS = 200_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -225,16 +227,21 @@ def _agreeing(batches, best_only: bool):
         yield compare(held)
 
 
+def few(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if it has at most BROADCAST_ROWS rows; ``df`` is a staged table of narrow rows, so counting reads it once."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) that are near-duplicates, from the whole texts of both.
 
     A text is fetched once, from the document that stands for it, so copies of one text don't meet in one task.
     """
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = nodes.join(ends, "node").select("node", F.col("id").alias("rep"))
+    ends = stage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    wanted = stage(nodes.join(few(ends), "node").select("node", F.coalesce("id", F.lit(-1)).alias("rep")))
     md5 = F.unhex(F.md5(F.col("text").cast("binary")))
     held = docs.select(F.coalesce("id", F.lit(-1)).alias("rep"), md5.alias("node"), "text")
-    texts = stage(held.join(wanted.withColumn("rep", F.coalesce("rep", F.lit(-1))), ["rep", "node"]).select("node", "text").dropDuplicates(["node"]))
+    texts = stage(held.join(few(wanted), ["rep", "node"]).select("node", "text").dropDuplicates(["node"]))
     both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     return stage(both.select("a", "b", "ta", "tb").mapInPandas(_similar, "a binary, b binary"))
 
@@ -262,42 +269,43 @@ def components(links: DataFrame) -> DataFrame:
             return small.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def across(nodes: DataFrame, root: DataFrame, best_only: bool) -> DataFrame:
+def across(members: DataFrame, signed: DataFrame, root: DataFrame, best_only: bool) -> DataFrame:
     """(a, b), a < b: pairs of texts of one band but different components whose signatures agree enough to be verified."""
-    placed = nodes.join(root, "node", "left").select("node", "size", F.coalesce("root", "node").alias("root"), "band")
-    flat = placed.select("node", "size", "root", F.explode("band").alias("band"))
+    flat = members.join(root, "node", "left").select("node", "size", F.coalesce("root", "node").alias("root"), "band")
     several = flat.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
-    several = several.where("lo <> hi").select("band", F.ceil(F.col("n") / TILE).cast("int").alias("blocks"))
+    several = stage(several.where("lo <> hi").select("band", F.ceil(F.col("n") / TILE).cast("int").alias("blocks")))
     # Each text of such a band meets every block of it: tiles (lower block, higher block).
-    members = flat.join(several, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = stage(members.select("band", "block", "blocks", "node", "size", "root"))
-    signs = nodes.join(members.select("node").distinct(), "node").select("node", "sig")
-    tiles = members.join(signs, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = flat.join(few(several), "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = stage(placed.select("band", "block", "blocks", "node", "size", "root"))
+    needed = stage(placed.select("node").distinct())
+    signs = stage(signed.select("node", "sig").join(few(needed), "node").dropDuplicates(["node"]))
+    tiles = placed.join(signs, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = tiles.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "size", "root", "sig")
     dealt = tiles.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
     found = dealt.mapInPandas(lambda batches: _agreeing(batches, best_only), "a binary, b binary")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, class_id, kept) for every row: the class of near-duplicates, named by its least id, and whether the row has that id.
-
-    Similarity is the weighted Jaccard of the multisets of five-word shingles of the lower-cased text; classes are the components of
-    pairs at 0.8 or more. Null texts and texts without a word are alone in their class. Repeated rows share a class; all rows with the class's id are kept.
-    A null id is never the name of a class unless all of its ids are null; then class_id is null and kept is true.
-    """
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """((id, node, size) of every row, (node, root) of every text with words): texts of one root are one class."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     signed = stage(rows.mapInPandas(_signed, "id long, node binary, size long, band array<long>, sig binary"))
-    nodes = stage(signed.where("size > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("band").alias("band"), F.first("sig").alias("sig")))
-    flat = nodes.select("id", "node", "size", F.explode("band").alias("band"))
-    stars = flat.groupBy("band").agg(F.min(F.struct("id", "node", "size")).alias("star"), F.count("*").alias("n")).where("n > 1").select("band", "star")
+    worded = signed.where("size > 0")
+    nodes = stage(worded.groupBy("node").agg(F.min("id").alias("id"), F.max("size").alias("size")))
+    # Bands that different texts share; only their texts go on. Copies of one text add nothing here.
+    shared = worded.select(F.xxhash64("node").alias("h"), F.explode("band").alias("band")).groupBy("band").agg(F.min("h").alias("x"), F.max("h").alias("y"))
+    shared = stage(shared.where("x <> y").select("band"))
+    held = worded.select("node", F.explode("band").alias("band")).join(few(shared), "band").distinct()
+    members = stage(held.join(nodes, "node").select("band", "node", "id", "size"))
+    stars = members.groupBy("band").agg(F.min(F.struct("id", "node", "size")).alias("star"))
     close: Column = F.least("size", "star.size") >= F.lit(THRESHOLD) * F.greatest("size", "star.size")
-    first = flat.join(stars, "band").where((F.col("node") != F.col("star.node")) & close)
+    first = members.join(stars, "band").where((F.col("node") != F.col("star.node")) & close)
     pairs = stage(first.select(F.col("star.node").alias("a"), F.col("node").alias("b")).distinct())
     links = verify(pairs, nodes, rows)
     root = components(links)
     for best_only in (True, False):
-        found = across(nodes, root, best_only)
+        found = across(members, signed, root, best_only)
         tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         found = stage(found.join(tested, ["a", "b"], "left_anti"))
         if not found.isEmpty():
@@ -306,27 +314,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if not more.isEmpty():
                 links = links.unionByName(more)
                 root = components(links)
-    rooted = nodes.select("node", "id").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = nodes.select("node", "id").join(root, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
+    return signed.select("id", "node", "size"), stage(rooted)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, class_id, kept) for every row: the class of near-duplicates, named by its least id, and whether the row has that id.
+
+    Similarity is the weighted Jaccard of the multisets of five-word shingles of the lower-cased text; classes are the components of
+    pairs at 0.8 or more. Null texts and texts without a word are alone in their class. Repeated rows share a class; all rows with the class's id are kept.
+    A null id is never the name of a class unless all of its ids are null; then class_id is null and kept is true.
+    Ids are expected to name one text: different texts under one id are told apart, but classes of one least id have the same name.
+    """
+    rows, rooted = _classes(docs, id_col, text_col)
     named = rooted.groupBy("root").agg(F.min("id").alias("class_id"))
     classed = stage(rooted.join(named, "root").select("node", "class_id"))
-    alone = signed.where("size = 0").select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.lit(True).alias("kept"))
-    found = signed.where("size > 0").select("id", "node").join(classed, "node")
+    alone = rows.where("size = 0").select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.lit(True).alias("kept"))
+    found = rows.where("size > 0").select("id", "node").join(classed, "node")
     return found.select(F.col("id").alias(id_col), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept")).unionByName(alone)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each class of near-duplicates, that of the least id; all columns stay.
+    """``docs`` with one row of each class of near-duplicates: that of the least id, null ids last; all columns stay.
 
-    Rows with a null id stay. Of rows that repeat an id, one stays.
+    Rows without a word stay. The class decides by id and text together, so an id that names two texts loses neither. Of rows that repeat both, the one with
+    the least hash of all its columns stays.
     """
-    gone, again, key = fresh(docs, "gone"), fresh(docs, "again"), F.col(f"`{id_col}`")
-    classes = stage(near_duplicates(docs, id_col, text_col))
-    out = docs.join(classes.where("NOT kept").select(F.col(f"`{id_col}`").alias(gone)).distinct(), key == F.col(gone), "left_anti")
-    repeated = classes.where(F.col(f"`{id_col}`").isNotNull() & F.col("kept")).groupBy(F.col(f"`{id_col}`").alias(again)).count().where("count > 1").select(again)
-    if repeated.isEmpty():
-        return out
-    once = out.join(repeated, key == F.col(again), "left_semi").dropDuplicates([id_col])
-    return out.join(repeated, key == F.col(again), "left_anti").unionByName(once)
+    rows, rooted = _classes(docs, id_col, text_col)
+    order = lambda c: F.struct(F.col(c).isNull(), F.col(c), F.col("node"))
+    chosen = rooted.groupBy("root").agg(F.min(order("id")).alias("c")).select("c.node", F.col("c.id").alias("rep"))
+    node, key, rep, pick, mine = (fresh(docs, x) for x in ("node", "key", "rep", "pick", "mine"))
+    kept = chosen.unionByName(rows.where("size = 0").select("node", F.col("id").alias("rep")).distinct())
+    marked = docs.withColumn(node, F.unhex(F.md5(F.col(f"`{text_col}`").cast("string").cast("binary"))))
+    same = F.col(node).eqNullSafe(F.col(key)) & F.col(f"`{id_col}`").eqNullSafe(F.col(rep))
+    out = marked.join(few(stage(kept.select(F.col("node").alias(key), F.col("rep").alias(rep)))), same, "left_semi")
+    again = stage(rows.where("size > 0").groupBy("id", "node").count().where("count > 1").select(F.col("id").alias(rep), F.col("node").alias(key)))
+    if not again.isEmpty():
+        repeated = out.join(again, same, "left_semi").withColumn(mine, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]))
+        least = repeated.groupBy(F.col(node).alias(key), F.col(f"`{id_col}`").alias(rep)).agg(F.min(mine).alias(pick))
+        once = repeated.join(least, same & (F.col(mine) == F.col(pick)), "left_semi").dropDuplicates([id_col, node]).drop(mine)
+        out = out.join(again, same, "left_anti").unionByName(once)
+    return out.drop(node)
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,8 +117,19 @@ def test_near_duplicates(spark):
     got = {r.doc_id: (r.class_id, r.kept) for r in near_dedup.near_duplicates(df).collect()}
     assert got == {k: (top(k), top(k) == k) for k in range(len(texts))}
     once = near_dedup.keep_one(df.union(df))
-    assert once.columns == df.columns and sorted(r.doc_id for r in once.collect()) == sorted(k for k in range(len(texts)) if top(k) == k)
-    assert near_dedup.near_duplicates(df.limit(0)).count() == 0
+    wordless = [k for k in range(len(texts)) if not sets[k]]
+    assert once.columns == df.columns and sorted(r.doc_id for r in once.collect()) == sorted([k for k in range(len(texts)) if top(k) == k] + wordless)
+    assert near_dedup.near_duplicates(df.limit(0)).count() == 0 and near_dedup.keep_one(df.limit(0)).count() == 0
+
+
+def test_keep_one_by_id_and_text(spark):
+    """An id with two texts, null ids, texts without words, repeated rows that differ elsewhere."""
+    a, b = "one two three four five six seven", "red green blue black white pink grey"
+    rows = [(5, a, "x"), (3, a, "y"), (3, b, "z"), (9, b, "w"), (None, a, "n"), (None, "alone here with no other text", "m"), (7, None, "p"), (7, "", "q"), (8, "- -", "r"), (3, b, "z2")]
+    got = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _node string"))
+    assert got.columns == ["doc_id", "text", "_node"]
+    kept = sorted(((r.doc_id or -1), r.text or "", r["_node"][0]) for r in got.collect())
+    assert kept == sorted([(3, a, "y"), (3, b, "z"), (-1, "alone here with no other text", "m"), (7, "", "p"), (7, "", "q"), (8, "- -", "r")])
 
 
 def test_signature_estimates_weighted_jaccard():
