@@ -1,10 +1,11 @@
 """Toxicity: a support vector machine over a gap-weighted subsequence kernel with Nystroem landmarks.
 
-Sentences of labelled documents are split into units (tokens, and runs of single characters written apart). Two units are
-compared by the subsequences of three letters that they share, each weighted by DECAY to the power of the width it covers,
+Labelled documents are split into sentences, which carry their document's label, and sentences into units (tokens, and runs of single characters written
+apart). Two units are compared by the subsequences of three letters that they share, each weighted by DECAY to the power of the width it covers,
 at most WIDTH characters; the kernel is scaled by the size of both units. So `idiot`, `i.d.i.o.t` and `idxiot` stay near each other.
-The machine is trained by multiple instances: a sentence of a toxic document need not itself be toxic, so only the units that
-best explain the label are positive, and the clean units that score highest come back as negatives.
+The machine is trained by multiple instances: most sentences of a toxic document aren't toxic themselves, so of the toxic sentences only the units that
+best explain the label are positive, and the units of clean sentences that score highest come back as negatives. Of a unit longer than WINDOW the window that
+scores highest stands for it.
 
 With landmarks z_1..z_m and the machine's weights a, a unit u scores  sum_i a_i k(u, z_i) + b.  The feature space has
 ALPHABET**3 dimensions, so the sum over landmarks is folded into one table and a unit costs a handful of lookups.
@@ -29,6 +30,8 @@ EDGE = ALPHABET - 1
 WINDOW = 24
 #: Digits and signs commonly written for letters.
 LOOKALIKES = dict(zip("013457@$", "oieastas", strict=True))
+#: What ends a sentence, for Spark.
+SENTENCE_END = r"(?<=[.!?…。！？])\s+|\n+"
 APART = re.compile(r"(?<!\S)(?:\w[^\w\s]?\s){2,}\w[^\w\s]?(?!\S)")
 OFFSETS = [(i, j) for j in range(2, WIDTH) for i in range(1, j)]
 
@@ -149,10 +152,10 @@ def svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 60) -> t
     return w[:-1], w[-1]
 
 
-def fit_machine(positive: list[str], negative: list[str], landmarks: int, seed: int = 7) -> ToxicModel:
-    """Nystroem features against landmarks drawn from both classes, then the linear machine, folded into one table."""
+def fit_machine(positive: list[bytes], negative: list[bytes], landmarks: int, seed: int = 7) -> ToxicModel:
+    """Nystroem features against landmarks drawn from both classes, then the linear machine, folded into one table; from the codes of units or windows."""
     rng = np.random.default_rng(seed)
-    pos, neg = [windows(u)[0] for u in positive], [windows(u)[0] for u in negative]
+    pos, neg = list(dict.fromkeys(positive)), list(dict.fromkeys(negative))
     marks = [pos[k] for k in rng.permutation(len(pos))[: landmarks * 2 // 3]]
     marks += [neg[k] for k in rng.permutation(len(neg))[: landmarks - len(marks)]]
     dense = np.zeros((len(marks), ALPHABET**3), np.float32)
@@ -167,6 +170,18 @@ def fit_machine(positive: list[str], negative: list[str], landmarks: int, seed:
     return ToxicModel((root @ w).astype(np.float32) @ dense, float(b), (4.0, 0.0, 0.0))
 
 
+def windows_of(units_: list[str], model: ToxicModel | None = None) -> list[bytes]:
+    """The codes of units as instances: of a long unit all windows, or the one that ``model`` scores highest."""
+    out: list[bytes] = []
+    for u in units_:
+        pieces = windows(u)
+        if model is not None and len(pieces) > 1:
+            feat, weight = subsequences(pieces)
+            pieces = [pieces[int((model.table[feat] * weight).sum(1).argmax())]]
+        out += [p for p in pieces if p]
+    return out
+
+
 def calibrate(two: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     """Logistic regression on the two best units."""
     x = np.hstack([two.astype(float), np.ones((len(two), 1))])
@@ -178,44 +193,49 @@ def calibrate(two: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return tuple(map(float, w))
 
 
-def fit_toxicity(sample: DataFrame, landmarks: int = 160, rounds: int = 4) -> ToxicModel:
-    """Fit on ``sample`` (text, label 0 or 1), a bounded table of labelled documents without copies.
+def fit_toxicity(sample: DataFrame, landmarks: int = 160, rounds: int = 4, most_positive: int = 1500, most_clean: int = 4000, most_common: int = 1000, most_hard: int = 1500) -> ToxicModel:
+    """Fit on the sentences of ``sample`` (text, label 0 or 1), a bounded table of labelled documents without copies.
 
-    Without both labels there is nothing to learn, and the model scores every text below 0.5.
+    Of units, at most ``most_positive`` are positive, with as many again that the machine finds itself; negative are at most ``most_clean`` drawn ones, ``most_common``
+    frequent ones, and ``most_hard`` a round that score highest. Without both labels there is nothing to learn, and the model scores every text below 0.5.
     """
+    # A document's sentences are one bag: a word that its sentences repeat is evidence once.
+    sentences = sample.select(F.xxhash64("text").alias("bag"), F.explode(F.split("text", SENTENCE_END)).alias("sentence"), "label").where(F.length("sentence") > 0)
     counts = (
-        sample.withColumn("unit", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))))
+        sentences.select("bag", "label", F.explode(F.split(F.lower("sentence"), r"\s+")).alias("unit"))
         .where(F.length("unit") >= 3)
+        .distinct()
         .groupBy("unit")
         .agg(F.sum("label").alias("bad"), F.count("*").alias("n"))
         .withColumn("good", F.col("n") - F.col("bad"))
     )
     counts = stage(counts)
-    n_bad, n = (int(v or 0) for v in sample.agg(F.sum("label"), F.count("*")).first())
+    n_bad, n = (int(v or 0) for v in sentences.select("bag", "label").distinct().agg(F.sum("label"), F.count("*")).first())
     if not n_bad or n_bad == n:
         return ToxicModel(np.zeros(ALPHABET**3, np.float32), -1.0, (1.0, 0.0, -4.0))
-    # Units that the label speaks for: a log-likelihood ratio against what the share of toxic documents would give.
+    # Units that the label speaks for: a log-likelihood ratio against what the share of toxic bags would give.
     share = n_bad / n
     rate = (F.col("bad") + 0.02) / (F.col("n") + 0.04)
     gain = F.col("bad") * F.log(rate / share) + F.col("good") * F.log((1 - rate) / (1 - share))
-    ranked = counts.where((rate > share) & (rate > 0.8)).withColumn("gain", gain).where("gain > 10").orderBy(F.desc("gain"), "unit").limit(1500)
-    known = {r["unit"]: (r["bad"], r["good"]) for r in ranked.collect()}
-    if not known:
-        known = {r["unit"]: (r["bad"], r["good"]) for r in counts.where(rate > share).withColumn("gain", gain).orderBy(F.desc("gain"), "unit").limit(50).collect()}
-    clean = [r["unit"] for r in counts.where("good > 0 AND bad <= good").orderBy(F.xxhash64("unit"), "unit").limit(4000).collect()]
-    common = [r["unit"] for r in counts.where("good > 0 AND bad <= good").orderBy(F.desc("good"), "unit").limit(1000).collect()]
-    positive, negative = list(known), list(dict.fromkeys(clean + common))
-    model = fit_machine(positive, negative, landmarks)
+    explained = counts.where(rate > share).withColumn("gain", gain).withColumn("rate", rate).orderBy(F.desc("gain"), "unit").limit(most_positive).collect()
+    # Beyond chance at a rate of one in 20,000 a unit; with too few labels for that, the best ones.
+    known = [r["unit"] for r in explained if r["gain"] > 10 and r["rate"] > 0.8] or [r["unit"] for r in explained[:50]]
+    clean = [r["unit"] for r in counts.where("good > 0 AND bad <= good").orderBy(F.xxhash64("unit"), "unit").limit(most_clean).collect()]
+    common = [r["unit"] for r in counts.where("good > 0 AND bad <= good").orderBy(F.desc("good"), "unit").limit(most_common).collect()]
+    positive, negative = known, list(dict.fromkeys(clean + common))
+    if not windows_of(positive) or not windows_of(negative):
+        return ToxicModel(np.zeros(ALPHABET**3, np.float32), -1.0, (1.0, 0.0, -4.0))
+    model = fit_machine(windows_of(positive), windows_of(negative), landmarks)
     pure = counts.where("good > 0").select("unit")
     for _ in range(rounds):
         # Instances: the clean units that look worst come back as negatives, positives that the machine can't support go.
-        hard = with_scores(pure, "unit", _unit_scorer(model), "s double").where("s > -0.5").orderBy(F.desc("s"), "unit").limit(1500)
+        hard = with_scores(pure, "unit", _unit_scorer(model), "s double").where("s > -0.5").orderBy(F.desc("s"), "unit").limit(most_hard)
         found = [r["unit"] for r in hard.collect()]
         more = with_scores(counts.where("good = 0 AND bad > 0").select("unit", "bad"), "unit", _unit_scorer(model), "s double")
-        gained = [r["unit"] for r in more.where("s > 1 AND bad > 1").orderBy(F.desc("bad"), F.desc("s"), "unit").limit(1500).collect()]
-        positive, negative = list(dict.fromkeys(list(known) + gained)), list(dict.fromkeys(negative + found))
+        gained = [r["unit"] for r in more.where("s > 1 AND bad > 1").orderBy(F.desc("bad"), F.desc("s"), "unit").limit(most_positive).collect()]
+        positive, negative = list(dict.fromkeys(known + gained)), list(dict.fromkeys(negative + found))
         positive = [u for u in positive if u not in set(negative)] or positive
-        model = fit_machine(positive, negative, landmarks)
+        model = fit_machine(windows_of(positive, model), windows_of(negative, model), landmarks)
     two = with_scores(sample, "text", _two_scorer(model), "a double, b double").select("a", "b", "label").collect()
     got = np.array([[r["a"], r["b"]] for r in two])
     model.calibration = calibrate(got, np.array([float(r["label"]) for r in two]))
