@@ -264,11 +264,11 @@ def sal_1(spark: SparkSession, d: str) -> DataFrame:
 
 @query("sal_2_first_valid")
 def sal_2(spark: SparkSession, d: str) -> DataFrame:
-    bad = lambda c: t.bad_output(c, F.lit("sarcastic"), RULES) != ""
-    return table(spark, d, "documents").select("doc_id", op.first_valid(op.salvage_candidates(F.col("text"), RULES), bad).alias("caption"))
+    bad = lambda c: ~t.good_output(c, F.lit("sarcastic"), RULES)
+    return op.first_valid_rows(table(spark, d, "documents").select("doc_id", op.salvage_candidates(F.col("text"), RULES).alias("c")), "doc_id", "c", bad)
 
 
 @query("sal_3_longest_fit")
 def sal_3(spark: SparkSession, d: str) -> DataFrame:
-    bad = lambda c: t.bad_output(c, F.lit("sarcastic"), RULES) != ""
+    bad = lambda c: ~t.good_output(c, F.lit("sarcastic"), RULES)
     return table(spark, d, "documents").select("doc_id", op.longest_fit(op.salvage_candidates(F.col("text"), RULES), t.word_limit(F.lit("sarcastic"), RULES), bad).alias("caption"))

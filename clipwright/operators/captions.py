@@ -193,9 +193,16 @@ def first_valid(candidates: Column, bad) -> Column:
     return F.get(F.filter(candidates, lambda c: ~bad(c)), F.lit(0))
 
 
+def first_valid_rows(rows: DataFrame, key: str, candidates: str, bad) -> DataFrame:
+    """SAL-2 for a table with one row a ``key``: (key, caption). Candidates become rows, so the rules run as compiled code; a partial aggregate brings them together."""
+    flat = rows.select(key, F.posexplode_outer(candidates).alias("_ord", "_c"))
+    found = flat.groupBy(key).agg(F.min(F.when(F.col("_c").isNotNull() & ~bad(F.col("_c")), F.struct("_ord", "_c"))).alias("_f"))
+    return found.select(key, F.col("_f._c").alias("caption"))
+
+
 def longest_fit(candidates: Column, limit: Column, bad) -> Column:
     """SAL-3: the longest valid tail of one or two sentences within the limit of words; ties go to the first."""
-    tails = F.flatten(F.transform(candidates, lambda c: _tails(c, 2)))
+    tails = F.array_distinct(F.flatten(F.transform(candidates, lambda c: _tails(c, 2))))
     ranked = F.transform(tails, lambda s, i: F.struct(word_count(s).alias("n"), (-i).alias("i"), s.alias("s")))
     return F.array_max(F.filter(ranked, lambda x: (x["n"] <= limit) & ~bad(x["s"])))["s"]
 
@@ -203,6 +210,6 @@ def longest_fit(candidates: Column, limit: Column, bad) -> Column:
 def normalised_reply(raw: Column, style: Column, rules: RuleBook) -> Column:
     """SAL-4: without one pair of quotes around; if bad, the first valid candidate, else the longest fit, else the reply itself."""
     bare = F.regexp_replace(trimmed(F.coalesce(raw, F.lit(""))), r"""(?s)^(["'])(.*)\1$""", "$2")
-    bad = lambda c: rules_of.bad_output(c, style, rules) != ""
+    bad = lambda c: ~rules_of.good_output(c, style, rules)
     found = salvage_candidates(bare, rules)
     return F.when(~bad(bare), bare).otherwise(F.coalesce(first_valid(found, bad), longest_fit(found, rules_of.word_limit(style, rules), bad), bare))

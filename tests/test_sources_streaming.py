@@ -2,12 +2,13 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from clipwright.config import RuleBook, Settings
 from clipwright.operators.inference import attempt_rounds, call_model, judge_rounds, model_panel
 from clipwright.sources import tables
-from clipwright.streaming.captions import best_so_far, upsert_batch
+from clipwright.streaming.captions import best_so_far, read_cache, scored_stream, upsert_batch
 
 GOOD = "A small boat crosses the quiet bay at dawn. Gulls circle above the wooden mast."
 
@@ -69,8 +70,54 @@ def test_best_so_far(spark, tmp_path):
 
 
 def test_upsert_batches(spark, tmp_path):
-    run = upsert_batch(str(tmp_path))
+    path = str(tmp_path / "cache")
     rows = lambda *x: spark.createDataFrame(list(x), "task_id string, text string, ts long")
-    run(rows(("a", "1", 1), ("a", "2", 2), ("b", "x", 1)), 0)
+    held = lambda: {r.task_id: r.text for r in read_cache(spark, path).collect()}
+    assert held() == {}
+    run = upsert_batch(path, 4)
+    run(rows(("a", "1", 1), ("a", "2", 2), *((f"k{n}", "x", 1) for n in range(20))), 0)
     run(rows(("a", "3", 3)), 1)
-    assert {r.task_id: r.text for r in spark.read.parquet(str(tmp_path / "v1")).collect()} == {"a": "3", "b": "x"}
+    run(rows(("a", "3", 3)), 1)  # the batch runs again
+    run(rows(("a", "", 4)), 2)  # an empty text changes nothing
+    upsert_batch(path, 4)(rows(("b", "new", 1)), 0)  # a stream that starts anew
+    upsert_batch(path, 4)(rows(), 1)
+    assert held() == {"a": "3", "b": "new"} | {f"k{n}": "x" for n in range(20)}
+
+
+def test_streams_score_as_batches_do(spark, tmp_path):
+    schema = "task_id string, style string, text string"
+    batch = spark.createDataFrame([("a", "formal", GOOD), ("b", "formal", "bad")], schema)
+    batch.write.parquet(str(tmp_path / "in"))
+    q = scored_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), RuleBook()).writeStream.format("memory").queryName("scored").start()
+    q.processAllAvailable()
+    q.stop()
+    want = {(r.task_id, r.score_rank, r.score_reason) for r in scored_stream(batch, RuleBook()).collect()}
+    assert {(r.task_id, r.score_rank, r.score_reason) for r in spark.table("scored").collect()} == want and len(want) == 2
+
+
+def test_results_frames_events_reports(spark, tmp_path):
+    (tmp_path / "r.json").write_text(json.dumps([{"task_id": "a", "captions": {"formal": "x", "sarcastic": "y"}}, {"task_id": "b", "captions": "none"}]))
+    assert sorted(map(tuple, tables.read_results(spark, str(tmp_path / "r.json")).collect())) == [(0, "a", "formal", "x"), (0, "a", "sarcastic", "y")]
+    (tmp_path / "f.jpg").write_bytes(b"\xff\xd8x")
+    assert tables.read_frames(spark, str(tmp_path)).first().data_url == "data:image/jpeg;base64,/9h4"
+    stages = spark.createDataFrame([("a", 1.23456, None, 2.0, "t")], "task_id string, download_s double, describe_s double, styles_s double, stage string")
+    event = json.loads(tables.event_rows(stages, F.lit("2024-01-02 03:04:05").cast("timestamp")).first().value)
+    assert (event["ts"], event["download_s"], event["describe_s"], event["total_s"]) == ("2024-01-02T03:04:05.000Z", 1.235, 0.0, 3.235)
+    spark.createDataFrame([(json.dumps(event),)], "value string").write.text(str(tmp_path / "events"))
+    read = tables.read_events(spark, str(tmp_path / "events")).first()
+    assert (read.task_id, read.total_s, read.describe_error) == ("a", 3.235, None)
+    tables.write_descriptions(spark.createDataFrame([("a", "x"), ("b", "")], "task_id string, text string"), str(tmp_path / "d"), "live_pipeline", True)
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "d")).select("task_id", "text", "source", "updated_from_live").collect()] == [("a", "x", "live_pipeline", True)]
+    scores = spark.createDataFrame([("a", "formal", "j1", 0.95, 0.95, "", False, False, ""), ("a", "formal", "j2", 0.5, 0.5, "x", False, False, "")], "task_id string, style string, judge_model string, accuracy double, style_match double, issue string, meta_leak boolean, skipped boolean, skip_reason string")
+    clips = spark.createDataFrame([("a", 0.4, "n", "")], "task_id string, distinctness double, note string, parse_error string")
+    tables.write_report(scores, scores, clips, str(tmp_path / "report"), Settings(), "panel")
+    head = spark.read.json(str(tmp_path / "report" / "summary")).first()
+    assert (head.passes, head.total, head.mean_score, head.panel_models, [j.passes for j in head.per_judge]) == (1, 2, 0.725, ["j1", "j2"], [1, 0])
+    assert spark.read.json(str(tmp_path / "report" / "clips")).first().cross_style_distinctness == 0.4
+
+
+def test_rules_from_a_table(spark):
+    rules = tables.read_rules(spark.createDataFrame([("entities", "Llama"), ("entities", "alpaca"), ("leak_markers", "Given The Facts")], "list string, phrase string"))
+    assert rules.entities == ("alpaca", "llama") and rules.leak_markers == ("given the facts",) and rules.cut_stems == RuleBook().cut_stems
+    with pytest.raises(ValueError):
+        tables.read_rules(spark.createDataFrame([("no_such", "x")], "list string, phrase string"))
