@@ -99,7 +99,7 @@ def test_language_learns_from_every_document(spark):
     letters = lambda k: "".join(chr(97 + int(d)) for d in f"{k:04d}")
     df = spark.createDataFrame([(k, f"{letters(k)}z", "aa") for k in range(2000)], "doc_id long, text string, lang string")
     model = language.fit_languages(df)
-    trains = [r.doc_id for r in df.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(5)) != 0).collect()]
+    trains = [r.doc_id for r in df.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(language.CALIBRATES)) != 0).collect()]
     last = np.array([language.grams([f"{letters(k)}z"])[2][4][5] for k in trains])
     assert len(trains) > 1400 and (model.find(last) < len(model.keys)).all() and np.isfinite(model.limits).all()
 
