@@ -168,6 +168,27 @@ def rnk_1(spark: SparkSession, d: str) -> DataFrame:
     return op.with_rank(captions(spark, d), RULES).select("task_id", "pool_index", "style", "score_rank", "score_reason")
 
 
+MISMATCH = r"coalesce(regexp_replace(facts, '\s', '', 'g'), '') <> '' AND regexp_replace(text, '\s', '', 'g') <> '' AND (foreign_entity OR (len(subject2) > 0 AND len(list_intersect(subject2, said2)) = 0 AND len(list_intersect(known2, said2)) < 2))"
+#: The rules with facts: another scene counts where no structural reason comes first.
+AGAINST_FACTS = f"""
+WITH a AS (SELECT * FROM ({R} SELECT task_id, pool_index, style, hard, structural, bad, score_reason, n_words FROM r)), m AS (SELECT * FROM ({MATCH} SELECT task_id, pool_index, {MISMATCH} AS mm FROM o)),
+g AS (SELECT * FROM ({BONUS} SELECT task_id, pool_index, bonus, reason FROM bonus)),
+z AS (SELECT a.* REPLACE (CASE WHEN structural = '' AND mm THEN 'scene-mismatch' ELSE score_reason END AS score_reason), mm, bonus, reason FROM a LEFT JOIN m USING (task_id, pool_index) LEFT JOIN g USING (task_id, pool_index))"""
+
+
+@query("txt_11_bad_output_with_facts", f"{AGAINST_FACTS} SELECT {KEY}, CASE WHEN hard = '' AND mm THEN 'SceneMismatch' ELSE bad END AS result FROM z")
+def txt_11_facts(spark: SparkSession, d: str) -> DataFrame:
+    return _joined(spark, d).select("task_id", "pool_index", t.bad_output(F.col("text"), F.col("style"), RULES, F.col("facts")).alias("result"))
+
+
+@query(
+    "rnk_1_rank_with_facts",
+    f"{AGAINST_FACTS} SELECT {KEY}, style, (({RANK}) + CASE WHEN score_reason = 'ok' THEN coalesce(bonus, 0) ELSE 0 END)::INT AS score_rank, CASE WHEN score_reason = 'ok' THEN 'ok' || coalesce('+' || reason, '') ELSE score_reason END AS score_reason FROM z",
+)
+def rnk_1_facts(spark: SparkSession, d: str) -> DataFrame:
+    return op.with_rank(_joined(spark, d), RULES).select("task_id", "pool_index", "style", "score_rank", "score_reason")
+
+
 BEST = f"{R}, k AS (SELECT *, ({RANK})::INT AS score_rank, row_number() OVER (PARTITION BY task_id, style ORDER BY ({RANK}) DESC, score_reason = 'ok' DESC, n_words DESC, pool_index) AS pos FROM r)"
 
 
