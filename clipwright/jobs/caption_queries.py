@@ -9,7 +9,7 @@ from ..functions.text import sentences, tokens, word_count
 from ..operators import captions as op
 from ..operators import text_rules as t
 from ..operators.tasks import BROADCAST_ROWS, caption_of, with_facts
-from .derived import CAPTIONS, FACTS, RULES, SETTINGS, captions, facts, judged, sql_tokens, table
+from .derived import CAPTIONS, FACTS, RULES, SETTINGS, any_of, captions, facts, judged, split_sentences, sql_tokens, table, trim_sql, words_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -276,20 +276,63 @@ def jon_1(spark: SparkSession, d: str) -> DataFrame:
     return _joined(spark, d).select("task_id", "pool_index", "style", F.coalesce(F.length("facts"), F.lit(-1)).alias("facts_length"))
 
 
-@query("sal_1_salvage_candidates")
+LABELS, LEAKS = any_of(RULES.label_prefixes), any_of(RULES.leak_prefixes)
+
+
+def _bare(x: str) -> str:
+    """Without its label, null if it has none."""
+    return rf"(CASE WHEN regexp_matches(lower({trim_sql(x)}), '^(?:{LABELS})') THEN regexp_replace({trim_sql(x)}, '(?i)^(?:{LABELS})\s*', '') END)"
+
+
+def _kept(x: str) -> str:
+    """Its lines without those that leak."""
+    return rf"array_to_string(list_filter(list_transform(regexp_split_to_array({x}, '\r?\n'), lambda l: {trim_sql('l')}), lambda l: l <> '' AND NOT regexp_matches(lower(l), '^(?:{LEAKS})')), ' ')"
+
+
+#: SAL-1 in SQL: candidates by (kind, i, j) in the operator's order; of equal ones the first stays.
+SALVAGED = rf"""
+WITH d AS (SELECT doc_id, {trim_sql("coalesce(text, '')")} AS t FROM documents),
+b AS (SELECT doc_id, unnest(range(len(bl))) AS i, unnest(bl) AS x FROM (
+  SELECT doc_id, list_reverse(list_filter(list_transform(regexp_split_to_array(t, '\n\s*\n'), lambda y: {trim_sql('y')}), lambda y: y <> '')) AS bl FROM d) WHERE len(bl) > 1),
+x AS (SELECT doc_id, 3 AS kind, i, x FROM b UNION ALL SELECT doc_id, 4, 0, t FROM d WHERE t <> ''),
+p AS (SELECT doc_id, kind, i, {split_sentences("x")} AS p FROM x),
+q AS (SELECT doc_id, unnest(range(len(qs))) AS i, {trim_sql('unnest(qs)')} AS s FROM (SELECT doc_id, regexp_extract_all(t, '"([^"]{{40,400}})"', 1) AS qs FROM d)),
+c AS (SELECT doc_id, 0 AS kind, 0 AS i, 0 AS j, CASE WHEN t LIKE '{{%' AND json_valid(t) THEN json_extract_string(t, '$.caption') END AS c FROM d
+  UNION ALL SELECT doc_id, 1, -{words_sql('s')}, i, s FROM q WHERE regexp_matches(s, '^\p{{Lu}}') AND regexp_matches(s, '[.!?]$') AND {words_sql('s')} >= 8
+  UNION ALL SELECT doc_id, 2, 0, 0, {_bare('t')} FROM d UNION ALL SELECT doc_id, 2, 0, 1, {_kept('t')} FROM d
+  UNION ALL SELECT doc_id, 3, i, 0, x FROM b UNION ALL SELECT doc_id, 3, i, 1, {_bare('x')} FROM b UNION ALL SELECT doc_id, 3, i, 2, {_kept('x')} FROM b
+  UNION ALL SELECT doc_id, kind, i, 2 + n, array_to_string(p[len(p) - n + 1:], ' ') FROM (SELECT *, unnest([1, 2, 3]) AS n FROM p) WHERE n <= len(p)),
+k AS (SELECT doc_id, kind, i, j, {trim_sql('c')} AS candidate FROM c WHERE c IS NOT NULL),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, candidate ORDER BY kind, i, j) AS copy FROM k WHERE candidate <> ''),
+salvaged AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY kind, i, j) - 1)::INT AS ord, candidate FROM f WHERE copy = 1)"""
+
+
+@query("sal_1_salvage_candidates", f"{SALVAGED} SELECT doc_id, ord, candidate FROM salvaged")
 def sal_1(spark: SparkSession, d: str) -> DataFrame:
     """Every document's text as a raw reply: its candidates in order."""
     docs = table(spark, d, "documents").select("doc_id", op.salvage_candidates(F.col("text"), RULES).alias("c"))
     return docs.select("doc_id", F.posexplode("c").alias("ord", "candidate"))
 
 
-@query("sal_2_first_valid")
+#: Judged candidates come from a table, since the rules' SQL begins with a WITH of its own.
+SALVAGED_ROWS = f"SELECT doc_id, ord, candidate AS text, 'sarcastic' AS style FROM ({SALVAGED} SELECT * FROM salvaged)"
+
+
+@query("sal_2_first_valid", f"SELECT d.doc_id, v.caption FROM documents d LEFT JOIN (SELECT doc_id, arg_min(text, ord) AS caption FROM ({judged(SALVAGED_ROWS)} SELECT doc_id, ord, text FROM r WHERE bad = '') GROUP BY 1) v USING (doc_id)")
 def sal_2(spark: SparkSession, d: str) -> DataFrame:
     bad = lambda c: ~t.good_output(c, F.lit("sarcastic"), RULES)
     return op.first_valid_rows(table(spark, d, "documents").select("doc_id", op.salvage_candidates(F.col("text"), RULES).alias("c")), "doc_id", "c", bad)
 
 
-@query("sal_3_longest_fit")
+TAILS = f"""SELECT doc_id, text, min(ord * 2 + n) AS ord, 'sarcastic' AS style FROM (
+  SELECT doc_id, ord, n, array_to_string(p[len(p) - n + 1:], ' ') AS text FROM (SELECT doc_id, ord, {split_sentences("text")} AS p, unnest([1, 2]) AS n FROM ({SALVAGED_ROWS})) WHERE n <= len(p)) GROUP BY 1, 2"""
+
+
+@query(
+    "sal_3_longest_fit",
+    f"""SELECT d.doc_id, v.caption FROM documents d LEFT JOIN (SELECT doc_id, text AS caption FROM ({judged(TAILS)} SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY n_words DESC, ord) AS pos
+  FROM r WHERE bad = '' AND n_words <= {RULES.word_limits["sarcastic"]}) WHERE pos = 1) v USING (doc_id)""",
+)
 def sal_3(spark: SparkSession, d: str) -> DataFrame:
     bad = lambda c: ~t.good_output(c, F.lit("sarcastic"), RULES)
     return table(spark, d, "documents").select("doc_id", op.longest_fit(op.salvage_candidates(F.col("text"), RULES), t.word_limit(F.lit("sarcastic"), RULES), bad).alias("caption"))

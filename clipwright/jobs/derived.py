@@ -142,7 +142,7 @@ SELECT event_id, task_id, style, CASE WHEN event_id % 5 = 0 THEN left(raw, lengt
 # --- the text rules in SQL -------------------------------------------------------------------------------------------
 
 
-def _any(phrases) -> str:
+def any_of(phrases) -> str:
     return "|".join(re.escape(p).replace("'", "''").replace("\\ ", " ") for p in phrases)
 
 
@@ -150,12 +150,18 @@ def _hits(col: str, phrases) -> str:
     return " + ".join(f"contains({col}, '{p}')::INT" for p in phrases)
 
 
-def _trim(x: str) -> str:
+def trim_sql(x: str) -> str:
     return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 
 
-def _words(x: str) -> str:
-    return rf"(CASE WHEN {_trim(x)} = '' THEN 0 ELSE len(regexp_split_to_array({_trim(x)}, '\s+')) END)"
+def words_sql(x: str) -> str:
+    return rf"(CASE WHEN {trim_sql(x)} = '' THEN 0 ELSE len(regexp_split_to_array({trim_sql(x)}, '\s+')) END)"
+
+
+def split_sentences(x: str) -> str:
+    """TXT-1 in SQL."""
+    return rf"""list_transform(list_filter(list_transform(string_split(regexp_replace({x}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)),
+    lambda s: {trim_sql("s")}), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '[.!?]$') THEN s ELSE s || '.' END)"""
 
 
 L = r"[^\p{L}\p{N}_]"
@@ -166,36 +172,35 @@ def judged(source: str, rules: RuleBook = RULES) -> str:
     r = rules
     jargon = [w for w in r.tech_words if w not in r.tech_not_jargon]
     limit = "CASE style " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in r.word_limits.items()) + f" ELSE {r.default_word_limit} END"
-    dangling = rf"(regexp_matches(t, '{OPEN_END}') OR regexp_matches(low, '(?:^|{L})(?:{_any(r.dangling_endings)})\s*\.$'))"
+    dangling = rf"(regexp_matches(t, '{OPEN_END}') OR regexp_matches(low, '(?:^|{L})(?:{any_of(r.dangling_endings)})\s*\.$'))"
     return rf"""
 WITH c AS ({source}),
-b AS (SELECT *, {_trim("coalesce(text, '')")} AS t, coalesce(text, '') AS x FROM c),
-p AS (SELECT *, lower(t) AS low, lower(x) AS xlow, list_transform(list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)),
-    lambda s: {_trim("s")}), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '[.!?]$') THEN s ELSE s || '.' END) AS parts FROM b),
-q AS (SELECT *, len(parts) AS n_parts, coalesce(parts[len(parts)], '') AS lastp, regexp_replace(coalesce(parts[len(parts)], ''), '[.!?"'')]+$', '') AS bare, {_words("x")} AS n_words FROM p),
+b AS (SELECT *, {trim_sql("coalesce(text, '')")} AS t, coalesce(text, '') AS x FROM c),
+p AS (SELECT *, lower(t) AS low, lower(x) AS xlow, {split_sentences("t")} AS parts FROM b),
+q AS (SELECT *, len(parts) AS n_parts, coalesce(parts[len(parts)], '') AS lastp, regexp_replace(coalesce(parts[len(parts)], ''), '[.!?"'')]+$', '') AS bare, {words_sql("x")} AS n_words FROM p),
 f AS (SELECT *,
-  t <> '' AND (regexp_matches(low, '^(?:{_any(r.field_labels)})') OR {_hits("low", r.field_labels)} >= 2) AS dump,
-  t <> '' AND (NOT regexp_matches(t, '[.!?"'')]$') OR n_parts = 0 OR (n_parts = 1 AND {_words("parts[1]")} < 8) OR {dangling} OR {_words("bare")} = 0
-    OR ({_words("bare")} = 1 AND regexp_replace(lower({_trim("bare")}), '^["'']+|["'']+$', '', 'g') IN ({", ".join(f"'{w}'" for w in r.fragment_sentences)}))
+  t <> '' AND (regexp_matches(low, '^(?:{any_of(r.field_labels)})') OR {_hits("low", r.field_labels)} >= 2) AS dump,
+  t <> '' AND (NOT regexp_matches(t, '[.!?"'')]$') OR n_parts = 0 OR (n_parts = 1 AND {words_sql("parts[1]")} < 8) OR {dangling} OR {words_sql("bare")} = 0
+    OR ({words_sql("bare")} = 1 AND regexp_replace(lower({trim_sql("bare")}), '^["'']+|["'']+$', '', 'g') IN ({", ".join(f"'{w}'" for w in r.fragment_sentences)}))
     OR regexp_replace(lower(regexp_extract(bare, '(\S+)\s*$', 1)), '[^a-z0-9'']+', '', 'g') IN ('', {", ".join(f"'{w}'" for w in r.cut_stems)})) AS cut,
-  t <> '' AND (regexp_matches(low, '^(?:{_any(r.drafting_prefixes)})') OR regexp_matches(low, '{_any(r.drafting_markers)}')
+  t <> '' AND (regexp_matches(low, '^(?:{any_of(r.drafting_prefixes)})') OR regexp_matches(low, '{any_of(r.drafting_markers)}')
     OR regexp_matches(t, '{LIST_LINE}') OR len(regexp_extract_all(t, '{TALLY}')) >= 2 OR {dangling}
     OR (length(t) - length(replace(t, '"', ''))) % 2 = 1 OR regexp_matches(t, '{EMPTY_COLON}')
-    OR {_hits("low", r.checklist_tags)} >= 2 OR regexp_matches(low, '[.!?]["'']?\s+(?:{_any(r.evaluative_tails)})\s*[.!?]?$')
-    OR (n_parts > 0 AND (regexp_matches(regexp_replace(lower(lastp), '[.!?]+$', ''), '(?:^|{L})(?:{_any(r.fragment_tails)})$')
+    OR {_hits("low", r.checklist_tags)} >= 2 OR regexp_matches(low, '[.!?]["'']?\s+(?:{any_of(r.evaluative_tails)})\s*[.!?]?$')
+    OR (n_parts > 0 AND (regexp_matches(regexp_replace(lower(lastp), '[.!?]+$', ''), '(?:^|{L})(?:{any_of(r.fragment_tails)})$')
       OR regexp_replace(lower(lastp), '[.!?]+$', '') IN ({", ".join(f"'{w}'" for w in r.evaluative_tails)})
-      OR (n_parts >= 2 AND {_words("lastp")} <= 3 AND regexp_matches(lower(lastp), '^(?:the|and|but|or|a|an) '))))) AS draft,
-  regexp_matches(low, '^(?:{_any(r.leak_prefixes)})') OR {_hits("low", r.leak_markers)} >= 2 AS leak FROM q),
+      OR (n_parts >= 2 AND {words_sql("lastp")} <= 3 AND regexp_matches(lower(lastp), '^(?:the|and|but|or|a|an) '))))) AS draft,
+  regexp_matches(low, '^(?:{any_of(r.leak_prefixes)})') OR {_hits("low", r.leak_markers)} >= 2 AS leak FROM q),
 h AS (SELECT *, CASE WHEN t = '' THEN 'empty' WHEN dump THEN 'describe-dump' WHEN draft THEN 'meta-leak' WHEN cut THEN 'incomplete' ELSE '' END AS hard FROM f),
 r AS (SELECT *,
   CASE WHEN t = '' THEN 'EmptyResponse' WHEN hard = 'meta-leak' THEN 'MetaLeak' WHEN hard = 'describe-dump' THEN 'DescribeDump' WHEN hard = 'incomplete' THEN 'Incomplete'
     WHEN leak THEN 'MetaLeak' WHEN n_words < 5 THEN 'TooShort' WHEN n_words > {limit} THEN 'TooLong' WHEN x <> '' AND NOT regexp_matches(x, '[.!?)"]\z') THEN 'Truncated' ELSE '' END AS bad,
   CASE WHEN t = '' THEN 'empty' WHEN xlow LIKE 'failed to%' THEN 'error' WHEN xlow LIKE 'video caption (%' THEN 'placeholder' ELSE hard END AS structural,
   CASE WHEN t = '' THEN 'empty' WHEN xlow LIKE 'failed to%' THEN 'error' WHEN xlow LIKE 'video caption (%' THEN 'placeholder' WHEN hard <> '' THEN hard
-    WHEN regexp_matches(xlow, '^(?:{_any(r.neutral_prefixes)})') THEN 'neutral-copy' WHEN {_hits("xlow", r.score_leak_markers)} >= 2 THEN 'meta-leak'
-    WHEN regexp_matches(xlow, '^(?:{_any(r.score_leak_prefixes)})') THEN 'meta-leak' WHEN NOT regexp_matches(x, '[.!?)"'']\z') THEN 'truncated' WHEN n_words < 5 THEN 'too-short'
-    WHEN n_words > {limit} THEN 'too-long' WHEN style = 'humorous_tech' AND NOT regexp_matches(xlow, '(?:^|{L})(?:{_any(r.tech_words)})(?:$|{L})') THEN 'no-tech-joke'
-    WHEN style = 'humorous_non_tech' AND regexp_matches(xlow, '(?:^|{L})(?:{_any(jargon)})(?:$|{L})') THEN 'tech-jargon' ELSE 'ok' END AS score_reason FROM h)"""
+    WHEN regexp_matches(xlow, '^(?:{any_of(r.neutral_prefixes)})') THEN 'neutral-copy' WHEN {_hits("xlow", r.score_leak_markers)} >= 2 THEN 'meta-leak'
+    WHEN regexp_matches(xlow, '^(?:{any_of(r.score_leak_prefixes)})') THEN 'meta-leak' WHEN NOT regexp_matches(x, '[.!?)"'']\z') THEN 'truncated' WHEN n_words < 5 THEN 'too-short'
+    WHEN n_words > {limit} THEN 'too-long' WHEN style = 'humorous_tech' AND NOT regexp_matches(xlow, '(?:^|{L})(?:{any_of(r.tech_words)})(?:$|{L})') THEN 'no-tech-joke'
+    WHEN style = 'humorous_non_tech' AND regexp_matches(xlow, '(?:^|{L})(?:{any_of(jargon)})(?:$|{L})') THEN 'tech-jargon' ELSE 'ok' END AS score_reason FROM h)"""
 
 
 def sql_tokens(x: str, pattern: str, stop=()) -> str:
