@@ -35,6 +35,17 @@ def crc_fold(doc_id: Column | str, folds: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
 
 
+#: ASCII signs that part words, and what becomes of them and of capital letters.
+_SIGNS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+_CAPITALS = "".join(chr(c) for c in range(65, 91))
+
+
+def ascii_words(text: Column) -> Column:
+    """Runs of ASCII letters and digits and of all characters beyond ASCII, with A-Z in lower case; null has none."""
+    plain = F.translate(F.coalesce(text.cast("string"), F.lit("")), _SIGNS + _CAPITALS, " " * len(_SIGNS) + _CAPITALS.lower())
+    return F.array_remove(F.split(plain, " ", -1), "")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Lets Arrow batches end at BATCH_BYTES, so that long texts don't gather in a Python worker; a size that the user has set stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["toxicity", "quality", "language", "pii", "near_dedup", "packing", "byte_bpe", "vectors", "warc"]
+MODULES = ["toxicity", "quality", "language", "pii", "near_dedup", "packing", "byte_bpe", "vectors", "warc", "decontamination", "importance", "hard_negatives"]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
