@@ -23,25 +23,30 @@ MORE_TOKENS = {"Truncated": 220, "TooLong": 40}
 OTHER_TOKENS = 60
 
 
-def call_model(prompts: DataFrame, call: Callable[[list[dict]], list[tuple[str, str]]], tasks: int, batch: int = 16) -> DataFrame:
-    """INF-1: ``prompts`` with raw, finish_reason, error, elapsed_s. ``call`` gets rows as dictionaries and returns (reply, finish reason) of each.
-
-    An exception of a batch becomes its class name in error. Rows are dealt evenly to ``tasks`` tasks.
-    """
-    names = prompts.columns
+def called(prompts: DataFrame, call: Callable[[list[dict]], list[tuple[str, str]]], batch: int = 16, hidden: list[str] = ()) -> DataFrame:
+    """``prompts`` with REPLY, called where the rows are, one batch after the other; ``call`` doesn't see the ``hidden`` columns."""
+    names, unseen = prompts.columns, list(hidden)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for at in range(0, len(rows), batch):
                 part, began = rows.iloc[at : at + batch], time.monotonic()
                 try:
-                    replies, error = call(part.to_dict("records")), None
+                    replies, error = call(part.drop(columns=unseen).to_dict("records")), None
                 except Exception as failed:  # noqa: BLE001  the class name is the result
                     replies, error = [(None, None)] * len(part), type(failed).__name__
                 took = (time.monotonic() - began) / max(1, len(part))
                 yield part.assign(raw=[r for r, _ in replies], finish_reason=[f for _, f in replies], error=error, elapsed_s=took)[[*names, "raw", "finish_reason", "error", "elapsed_s"]]
 
-    return prompts.repartition(tasks).mapInPandas(run, T.StructType([*prompts.schema.fields, *REPLY.fields]))
+    return prompts.mapInPandas(run, T.StructType([*prompts.schema.fields, *REPLY.fields]))
+
+
+def call_model(prompts: DataFrame, call: Callable[[list[dict]], list[tuple[str, str]]], tasks: int, batch: int = 16) -> DataFrame:
+    """INF-1: ``prompts`` with raw, finish_reason, error, elapsed_s. ``call`` gets rows as dictionaries and returns (reply, finish reason) of each.
+
+    An exception of a batch becomes its class name in error. Rows are dealt evenly to ``tasks`` tasks. A Ledger calls by provider and remembers.
+    """
+    return called(prompts.repartition(tasks), call, batch)
 
 
 def temperature(style, pool_index, attempt, reason):
@@ -62,15 +67,18 @@ def token_limit(base, attempt, reason):
     return base + F.when(attempt > 1, more).otherwise(0)
 
 
-def attempt_rounds(prompts: DataFrame, call, rules: RuleBook, tasks: int, most: int = 3, base_tokens: int = 140) -> DataFrame:
+def attempt_rounds(prompts: DataFrame, call, rules: RuleBook, tasks: int, most: int = 3, base_tokens: int = 140, ask: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """INF-2: every prompt (task_id, style, pool_index, prompt) called until its caption is good or ``most`` times; the last reply of each.
 
-    Each round works on the failing rows only and is checkpointed, so a lost executor repeats one round's calls at most.
+    Each round works on the failing rows only. With ``ask``, such as ``lambda rows: ledger.call(rows, call)``, that makes the calls (prompts need a model then), and a
+    run that broke off repeats no finished call; without it each round is checkpointed, so a lost executor repeats one round's calls at most.
     """
     open_, done = prompts.withColumn("_before", F.lit("")), None
     for n in range(1, most + 1):
         asked = open_.withColumns({"attempt": F.lit(n), "temperature": temperature(F.col("style"), F.col("pool_index"), F.lit(n), F.col("_before")), "max_tokens": token_limit(F.lit(base_tokens), F.lit(n), F.col("_before"))}).drop("_before")
-        replies = call_model(asked, call, tasks).withColumn("reason", F.when(F.col("error").isNotNull(), F.col("error")).otherwise(bad_output(F.col("raw"), F.col("style"), rules))).checkpoint()
+        replies = ask(asked) if ask else call_model(asked, call, tasks)
+        replies = replies.withColumn("reason", F.when(F.col("error").isNotNull(), F.col("error")).otherwise(bad_output(F.col("raw"), F.col("style"), rules)))
+        replies = replies if ask else replies.checkpoint()  # the ledger's files end the lineage of its replies
         good = replies if n == most else replies.where("reason = ''")
         done = good if done is None else done.unionByName(good)
         open_ = replies.where("reason <> ''").select(*prompts.columns, F.col("reason").alias("_before"))
