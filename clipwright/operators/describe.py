@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.text import chain, let, size0, trimmed, word_count
-from .judging import json_text
+from .judging import json_object, json_text
 from .text_rules import truncated
 
 SCHEMA = (
@@ -44,14 +44,13 @@ def fallback_subject(setting: Column) -> Column:
 
 
 def parse_description(raw: Column) -> Column:
-    """DSC-2: struct(ok, reason, d). Null counts as missing; subjects must be a list of objects; unnamed subjects go."""
+    """DSC-2: struct(ok, reason, d). Null counts as missing, of repeated keys the last counts; subjects must be a list of objects; unnamed subjects go."""
 
     def read(x: Column) -> Column:
         text, d = x["text"], x["d"]
-        kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(text), "$.subjects", "variant"))
-        listed = F.coalesce(kind.startswith("ARRAY<OBJECT") | (kind == "ARRAY<VOID>"), F.lit(False))
+        listed = d["subjects"].isNotNull() & ~F.exists(d["subjects"], lambda s: s.isNull())
         need = (_text(d["setting"]) != "") & (_text(d["actions_early"]) != "") & (_text(d["actions_late"]) != "")
-        reason = F.when(text == "", "EmptyResponse").when(~text.startswith("{") | ~need | ~listed, "InvalidJSON").otherwise("")
+        reason = F.when(text == "", "EmptyResponse").when(F.coalesce(d.isNull() | ~need | ~listed, F.lit(True)), "InvalidJSON").otherwise("")
         return let(F.struct(reason.alias("reason"), d.alias("d")), tidied)
 
     def tidied(x: Column) -> Column:
@@ -68,7 +67,7 @@ def parse_description(raw: Column) -> Column:
         )
         return F.struct((x["reason"] == "").alias("ok"), x["reason"].alias("reason"), F.when(x["reason"] == "", whole).alias("d"))
 
-    return let(json_text(raw), lambda t: let(F.struct(t.alias("text"), F.from_json(t, SCHEMA).alias("d")), read))
+    return let(json_text(raw), lambda t: let(F.struct(t.alias("text"), json_object(t, SCHEMA).alias("d")), read))
 
 
 def format_description(d: Column) -> Column:

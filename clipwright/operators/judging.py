@@ -38,29 +38,52 @@ def flag(value: Column) -> Column:
     return low.isin("1", "true", "yes", "y") | F.coalesce((low.try_cast("double") != 0) & ~F.isnan(low.try_cast("double")), F.lit(False))
 
 
+#: JSON as it is defined, without the quotes that Spark's reader would also take.
+STRICT = {"allowSingleQuotes": "false"}
+
+
+def json_object(text: Column, kind: str) -> Column:
+    """The JSON object that ``text`` consists of as ``kind``, read once; null if it is anything else, such as two objects or a cut one.
+
+    Read as the only element of an array, so that what follows the object isn't overlooked. A field of a struct is the last of its repeated keys; a map
+    keeps all of them, see ``last_of``.
+    """
+    return let(F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{kind}>", STRICT), lambda rows: F.when(F.size(rows) == 1, F.get(rows, F.lit(0))))
+
+
+def last_first(fields: Column) -> Column:
+    """A map as struct(keys, values) from its end, so that the first place of a key is its last."""
+    return F.struct(F.reverse(F.map_keys(fields)).alias("keys"), F.reverse(F.map_values(fields)).alias("values"))
+
+
+def last_of(turned: Column, key: Column) -> Column:
+    """The last value of a key, from ``last_first``; null without it."""
+    return F.get(turned["values"], (F.array_position(turned["keys"], key) - 1).cast("int"))
+
+
 def reply(raw: Column) -> Column:
-    """struct(text, blank, ok, fields): a reply read once: its JSON text, whether it is blank, whether it is an object, and the object's fields as text."""
+    """struct(text, blank, ok, fields): a reply read once: its JSON text, whether it is blank, whether it is an object, and the object's fields as text, from the end."""
 
     def read(text: Column) -> Column:
-        ok = text.rlike(r"(?s)^\{.*\}$") & F.try_parse_json(text).isNotNull()
         blank = trimmed(F.coalesce(raw, F.lit(""))) == ""
-        return F.struct(text.alias("text"), blank.alias("blank"), ok.alias("ok"), F.when(ok, F.from_json(text, FIELD)).alias("fields"))
+        return let(json_object(text, FIELD), lambda m: F.struct(text.alias("text"), blank.alias("blank"), m.isNotNull().alias("ok"), last_first(m).alias("fields")))
 
     return let(json_text(raw), read)
 
 
 def _field(r: Column, name: str) -> Column:
     """A field of a reply's object; of repeated keys the last."""
-    return F.try_element_at(r["fields"], F.lit(name))
+    return last_of(r["fields"], F.lit(name))
 
 
 def _has(r: Column, name: str) -> Column:
-    return F.coalesce(F.map_contains_key(r["fields"], name), F.lit(False))
+    """Whether the key is there, be it null."""
+    return F.coalesce(F.array_contains(r["fields"]["keys"], name), F.lit(False))
 
 
 def _number(r: Column, name: str) -> Column:
-    """A number after its key in the text, for replies that were cut."""
-    found = F.regexp_extract(r["text"], rf'(?i)"{name}"\s*:\s*([0-9]*\.?[0-9]+)', 1)
+    """A number after its key in the text, for replies that were cut; of repeated keys the last."""
+    found = F.regexp_extract(r["text"], rf'(?is)^.*"{name}"\s*:\s*([0-9]*\.?[0-9]+)', 1)
     return let(found, lambda x: F.when(x != "", x))
 
 
@@ -100,29 +123,35 @@ def parse_style_reply(df: DataFrame, raw: str = "raw") -> DataFrame:
     ).drop("_r", "_x", "_y", "_a", "_m", "_i", "_l", "_readable")
 
 
+BATCH = "struct<captions: map<string,string>, cross_style_distinctness: string, distinctness_note: string>"
+
+
 def parse_batch_reply(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """JDG-3: one row a style: accuracy, style_match, issue, meta_leak, skipped, skip_reason, and the reply's distinctness, note, parse_error."""
-    r = F.col("_r")
-    captions = F.from_json(_field(r, "captions"), "map<string,map<string,string>>")
-    rows = df.withColumn("_r", reply(F.col(raw))).withColumn("_c", captions).withColumn("style", F.explode(F.array(*map(F.lit, STYLES)))).withColumn("_e", F.try_element_at("_c", F.col("style")))
-    key = lambda k: F.try_element_at("_e", F.lit(k))
-    match = F.when(F.array_contains(F.map_keys("_e"), "style_match"), key("style_match")).otherwise(key("style_fit"))
+    """JDG-3: one row a style: accuracy, style_match, issue, meta_leak, skipped, skip_reason, and the reply's distinctness, note, parse_error.
+
+    Of a style or key named twice the last counts; an entry that is no object is missing, the others stay.
+    """
+    r = F.col("_b")
+    rows = df.withColumn("_t", json_text(F.col(raw))).withColumn("_b", json_object(F.col("_t"), BATCH)).withColumn("_c", last_first(r["captions"]))
+    rows = rows.withColumn("style", F.explode(F.array(*map(F.lit, STYLES)))).withColumn("_m", json_object(last_of(F.col("_c"), F.col("style")), FIELD)).withColumn("_e", last_first(F.col("_m")))
+    key = lambda k: last_of(F.col("_e"), F.lit(k))
+    match = F.when(F.array_contains(F.col("_e.keys"), "style_match"), key("style_match")).otherwise(key("style_fit"))
     leak = flag(key("meta_leak"))
-    rows = rows.withColumns({"_a": unit_score(key("accuracy")), "_m": unit_score(match)})
-    reason = F.when(F.col("_e").isNull(), "judge-missing-style").when(F.col("_a").isNull() | F.col("_m").isNull(), "judge-invalid-scores").otherwise("")
+    rows = rows.withColumns({"_a": unit_score(key("accuracy")), "_y": unit_score(match)})
+    reason = F.when(F.col("_m").isNull(), "judge-missing-style").when(F.col("_a").isNull() | F.col("_y").isNull(), "judge-invalid-scores").otherwise("")
     return rows.withColumns(
         {
             "skip_reason": reason,
             "skipped": reason != "",
             "accuracy": F.when(reason == "", leak_cap(F.col("_a"), leak)).otherwise(0.0),
-            "style_match": F.when(reason == "", leak_cap(F.col("_m"), leak)).otherwise(0.0),
+            "style_match": F.when(reason == "", leak_cap(F.col("_y"), leak)).otherwise(0.0),
             "issue": F.when(reason == "", leak_issue(trimmed(F.coalesce(key("issue"), F.lit(""))), leak)).otherwise(reason),
             "meta_leak": (reason == "") & leak,
-            "distinctness": F.coalesce(unit_score(_field(r, "cross_style_distinctness")), F.lit(0.0)),
-            "distinctness_note": trimmed(F.coalesce(_field(r, "distinctness_note"), F.lit(""))),
-            "parse_error": F.when(r["blank"], "EmptyResponse").when(~r["ok"], "InvalidJSON").otherwise(""),
+            "distinctness": F.coalesce(unit_score(r["cross_style_distinctness"]), F.lit(0.0)),
+            "distinctness_note": trimmed(F.coalesce(r["distinctness_note"], F.lit(""))),
+            "parse_error": F.when(trimmed(F.coalesce(raw, F.lit(""))) == "", "EmptyResponse").when(r.isNull(), "InvalidJSON").otherwise(""),
         }
-    ).drop("_r", "_c", "_e", "_a", "_m")
+    ).drop("_t", "_b", "_c", "_m", "_e", "_a", "_y")
 
 
 def parse_distinctness(raw: Column) -> Column:
