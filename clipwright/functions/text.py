@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -70,3 +70,11 @@ def chain(*pairs: tuple[Column, str], otherwise: str = "") -> Column:
     for condition, label in pairs:
         out = out.when(F.coalesce(condition, F.lit(False)), F.lit(label))
     return out.otherwise(F.lit(otherwise))
+
+
+def with_once(df: DataFrame, **values: Column) -> DataFrame:
+    """``df`` with columns that are computed once a row, however often and in whatever filters they are used: a generator of one row, which no rule of
+    the optimiser copies into what reads it."""
+    for name, value in values.items():
+        df = df.select("*", F.explode(F.array(value)).alias(name))
+    return df

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import sentences, tokens, word_count
 from ..operators import captions as op
 from ..operators import text_rules as t
-from ..operators.tasks import BROADCAST_ROWS, caption_of, with_facts
+from ..operators.examples import example_echoes
+from ..operators.tasks import caption_of, with_facts
 from .derived import CAPTIONS, FACTS, RULES, SETTINGS, any_of, captions, facts, judged, split_sentences, sql_tokens, table, trim_sql, words_sql
 
 QUERIES: dict = {}
@@ -63,17 +64,10 @@ d AS (SELECT doc_id, regexp_replace(regexp_replace(lower(regexp_replace(text, '^
 SELECT doc_id, k <> '' AND EXISTS (SELECT 1 FROM e WHERE d.k = e.k OR (abs(length(d.k) - length(e.k)) <= 12 AND (contains(d.k, e.k) OR contains(e.k, d.k)))) AS result FROM d""",
 )
 def txt_5(spark: SparkSession, d: str) -> DataFrame:
-    """Documents, and the examples themselves, against the examples: an array while those are few, which is checked; beyond, a join by length."""
+    """Documents, and the examples themselves, against the examples through their index."""
     shown = table(spark, d, "benchmark")
     docs = table(spark, d, "documents").select("doc_id", "text").unionByName(shown.select((-1 - F.col("item_id")).alias("doc_id"), "text"))
-    known = shown.select(t.example_key(F.col("text")).alias("e")).distinct()
-    if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        held = known.agg(F.collect_list("e").alias("examples"))
-        return docs.join(F.broadcast(held)).select("doc_id", t.example_echo(F.col("text"), F.col("examples")).alias("result"))
-    near = known.withColumn("n", F.explode(F.sequence(F.length("e") - 12, F.length("e") + 12)))
-    keyed = docs.select("doc_id", t.example_key(F.col("text")).alias("k")).withColumn("n", F.length("k"))
-    hits = keyed.join(near, "n").where((F.col("k") != "") & (F.contains("k", "e") | F.contains("e", "k"))).select("doc_id").distinct().withColumn("result", F.lit(True))
-    return docs.select("doc_id").join(hits, "doc_id", "left").select("doc_id", F.coalesce("result", F.lit(False)).alias("result"))
+    return example_echoes(docs, shown).select("doc_id", F.col("echo").alias("result"))
 
 
 CONTENT, GROUND = sql_tokens("{}", "[a-z0-9]+", RULES.content_stopwords), sql_tokens("{}", "[a-z0-9]+", RULES.grounding_stopwords)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import STYLES, Settings
+from ..functions.text import with_once
 from ..operators import describe, inference, tasks
 from ..sources.tables import nested_results
 from .derived import CAPTIONS, captions, table
@@ -357,7 +358,7 @@ def dsc_1(spark: SparkSession, d: str) -> DataFrame:
     f"SELECT event_id, reason, CASE WHEN reason <> '' THEN '' WHEN none THEN CASE WHEN short THEN 'a x here scene' ELSE 'a long road here scene' END ELSE event_type END AS subject FROM ({PARSED})",
 )
 def dsc_2(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "events").select("event_id", describe.parse_description(_described_raw()).alias("p"))
+    p = with_once(table(spark, d, "events").select("event_id", _described_raw().alias("raw")), p=describe.parse_description(F.col("raw")))
     return p.select("event_id", "p.reason", F.coalesce(F.get("p.d.subjects", F.lit(0))["name"], F.lit("")).alias("subject"))
 
 
@@ -367,7 +368,7 @@ def dsc_2(spark: SparkSession, d: str) -> DataFrame:
   || CASE WHEN same THEN 'it moves on slowly now' ELSE 'it stands there quite still' END || '|Caption focus: the primary subject leads, other subjects and the background follow.' AS facts FROM ({PARSED}) WHERE reason = ''""",
 )
 def dsc_4(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "events").select("event_id", describe.parse_description(_described_raw()).alias("p")).where("p.ok")
+    p = with_once(table(spark, d, "events").select("event_id", _described_raw().alias("raw")), p=describe.parse_description(F.col("raw"))).where("p.ok")
     return p.select("event_id", F.replace(describe.format_description(F.col("p.d")), F.lit("\n"), F.lit("|")).alias("facts"))
 
 
@@ -377,7 +378,7 @@ def dsc_4(spark: SparkSession, d: str) -> DataFrame:
 )
 def dsc_5(spark: SparkSession, d: str) -> DataFrame:
     """Settings have three words at least here, actions five; half of the clips are long."""
-    p = table(spark, d, "events").select("event_id", describe.parse_description(_described_raw()).alias("p")).where("p.ok")
+    p = with_once(table(spark, d, "events").select("event_id", _described_raw().alias("raw")), p=describe.parse_description(F.col("raw"))).where("p.ok")
     return p.select("event_id", describe.description_quality(F.col("p.d"), F.when(F.col("event_id") % 4 < 2, 90.0).otherwise(30.0), PLAIN).alias("weakness"))
 
 

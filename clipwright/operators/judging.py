@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import STYLES, RuleBook, Settings
-from ..functions.text import alternation, let, trimmed
+from ..functions.text import alternation, let, trimmed, with_once
 from . import text_rules as rules_of
 
 CAP = 0.2
@@ -102,7 +102,7 @@ def parse_style_reply(df: DataFrame, raw: str = "raw") -> DataFrame:
 
     The older key style_fit counts only where style_match is absent, not where it is null.
     """
-    read = df.withColumn("_r", reply(F.col(raw)))
+    read = with_once(df, _r=reply(F.col(raw)))
     r = F.col("_r")
     style = F.when(_has(r, "style_match"), _field(r, "style_match")).otherwise(_field(r, "style_fit"))
     cut_style = F.coalesce(_number(r, "style_match"), _number(r, "style_fit"))
@@ -132,8 +132,8 @@ def parse_batch_reply(df: DataFrame, raw: str = "raw") -> DataFrame:
     Of a style or key named twice the last counts; an entry that is no object is missing, the others stay.
     """
     r = F.col("_b")
-    rows = df.withColumn("_t", json_text(F.col(raw))).withColumn("_b", json_object(F.col("_t"), BATCH)).withColumn("_c", last_first(r["captions"]))
-    rows = rows.withColumn("style", F.explode(F.array(*map(F.lit, STYLES)))).withColumn("_m", json_object(last_of(F.col("_c"), F.col("style")), FIELD)).withColumn("_e", last_first(F.col("_m")))
+    rows = with_once(df, _b=let(json_text(F.col(raw)), lambda t: json_object(t, BATCH))).withColumn("_c", last_first(r["captions"]))
+    rows = with_once(rows.withColumn("style", F.explode(F.array(*map(F.lit, STYLES)))), _m=json_object(last_of(F.col("_c"), F.col("style")), FIELD)).withColumn("_e", last_first(F.col("_m")))
     key = lambda k: last_of(F.col("_e"), F.lit(k))
     match = F.when(F.array_contains(F.col("_e.keys"), "style_match"), key("style_match")).otherwise(key("style_fit"))
     leak = flag(key("meta_leak"))
@@ -151,7 +151,7 @@ def parse_batch_reply(df: DataFrame, raw: str = "raw") -> DataFrame:
             "distinctness_note": trimmed(F.coalesce(r["distinctness_note"], F.lit(""))),
             "parse_error": F.when(trimmed(F.coalesce(raw, F.lit(""))) == "", "EmptyResponse").when(r.isNull(), "InvalidJSON").otherwise(""),
         }
-    ).drop("_t", "_b", "_c", "_m", "_e", "_a", "_y")
+    ).drop("_b", "_c", "_m", "_e", "_a", "_y")
 
 
 def parse_distinctness(raw: Column) -> Column:
