@@ -99,9 +99,69 @@ def test_language_learns_from_every_document(spark):
     letters = lambda k: "".join(chr(97 + int(d)) for d in f"{k:04d}")
     df = spark.createDataFrame([(k, f"{letters(k)}z", "aa") for k in range(2000)], "doc_id long, text string, lang string")
     model = language.fit_languages(df)
-    trains = [r.doc_id for r in df.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(language.CALIBRATES)) != 0).collect()]
+    trains = [r.doc_id for r in df.where(~language.calibrating(df)).collect()]
     last = np.array([language.grams([f"{letters(k)}z"])[2][4][5] for k in trains])
-    assert len(trains) > 1400 and (model.find(last) < len(model.keys)).all() and np.isfinite(model.limits).all()
+    assert len(trains) > 1400 and (model.find(last) < len(model.keys)).all() and np.isfinite(model.times).all()
+
+
+def brute_kneser_ney(words):
+    """Interpolated Kneser-Ney by definition, with dictionaries: the log probability of a word between boundary signs."""
+    raw = {}
+    for w, n in words.items():
+        t = f" {w} "
+        for i in range(1, len(t)):
+            for k in range(1, min(language.ORDER, i + 1) + 1):
+                raw[t[i - k + 1 : i + 1]] = raw.get(t[i - k + 1 : i + 1], 0) + n
+    counts = {}
+    for g, n in raw.items():
+        left = len({h for h in raw if len(h) == len(g) + 1 and h[1:] == g})
+        counts[g] = n if len(g) == language.ORDER or (len(g) > 1 and g[0] == " ") else left or 1
+    discount = {}
+    for k in range(1, language.ORDER + 1):
+        of = [c for g, c in counts.items() if len(g) == k]
+        ones, twos = of.count(1), of.count(2)
+        discount[k] = min(max(ones / max(1, ones + 2 * twos), 0.1), 0.9)
+
+    def p(context, ch):
+        k = len(context) + 1
+        of = [c for g, c in counts.items() if len(g) == k and g[:-1] == context]
+        d, c = discount[k], counts.get(context + ch, 0)
+        lower = p(context[1:], ch) if context else 1 / language.CHARACTERS
+        return (max(c - d, 0) + d * len(of) * lower) / sum(of) if of else lower
+
+    return lambda w: sum(np.log(p(t[max(0, i - language.ORDER + 1) : i], t[i])) for t in [f" {w} "] for i in range(1, len(t)))
+
+
+def test_language_model_by_definition(spark):
+    import pandas as pd
+
+    words = {"a": {"abab": 3, "abc": 2, "cab": 1, "abcabd": 1, "b": 5}, "b": {"bca": 4, "bcaa": 1, "dd": 2}}
+    model = language.train(pd.DataFrame([(k, w, n) for k, of in words.items() for w, n in of.items()], columns=["lang", "word", "n"]))
+    for w in ("abab", "abc", "b", "cabab", "dd", "abcabd", "xa", "bcaz"):
+        assert model.word_logp([w])[0] == pytest.approx([brute_kneser_ney(words[k])(w) for k in ("a", "b")], rel=2e-4)
+    texts = [("Abab, abc_abc! 12 É é", "a"), ("abc-É\u0131x", "a"), ("漢字 b", "b"), ("", "b")]
+    counted = {(r.lang, r.word): r.n for r in language.word_counts(spark.createDataFrame(texts, "text string, lang string")).collect()}
+    assert counted == {("a", "abab"): 1, ("a", "abc"): 3, ("a", "é"): 2, ("a", "éıx"): 1, ("b", "漢字"): 1, ("b", "b"): 1}
+
+
+def test_rare_grams_go_first(spark):
+    rows = spark.createDataFrame([(k, float(n)) for k, n in enumerate([1] * 50 + [2] * 20 + [9] * 5)], "key long, n double")
+    assert [language.frequent(rows, m).count() for m in (75, 74, 25, 24, 5, 4)] == [75, 25, 25, 5, 5, 0]
+
+
+@pytest.mark.parametrize("sf", ["sf0.01"])
+def test_right_texts_are_seldom_rejected(spark, sf):
+    import os
+
+    if not os.path.isdir(f"/root/testdata/{sf}"):
+        pytest.skip("needs the given tables")
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    found = language.op3_language_id(spark, f"/root/testdata/{sf}").join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang_pred = lang")
+    n, refused = found.count(), found.where("rejected").count()
+    assert n > 200 and refused < 0.01 * n
+    model = language.fit_languages(docs.where(language.crc_fold("doc_id", 4) != 2))
+    junk = spark.createDataFrame([("xkq zzvw qqpx wkjx zzqk pqxz vvwk xxqj zkzk qqww",), ("Это совсем другой язык и другие буквы",), ("漢字の文章はここにあります",)], "text string")
+    assert all(r.rejected for r in language.identify(junk, model).collect())
 
 
 def test_language_model_sums_to_one():
