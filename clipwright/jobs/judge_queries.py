@@ -328,7 +328,7 @@ DIST = f"round(abs(least(accuracy, style_match) - {BAR}) + abs({MEAN} - {BAR}) *
 NEAR = f"NOT skipped AND (abs(least(accuracy, style_match) - {BAR}) <= {SETTINGS.calibration_margin} OR abs({MEAN} - {BAR}) <= {SETTINGS.calibration_margin})"
 
 
-@query("top_1_calibration_sample", f"{PANEL} SELECT task_id, style, {PASSES} AS passed, {DIST} AS distance FROM panel WHERE {NEAR} ORDER BY distance, task_id, style LIMIT {SETTINGS.calibration_rows}")
+@query("top_1_calibration_sample", f"{PANEL} SELECT task_id, style, {PASSES} AS passed, {DIST} AS distance FROM panel WHERE {NEAR} ORDER BY distance, task_id, list_position({STYLE_LIST}, style) LIMIT {SETTINGS.calibration_rows}")
 def top_1(spark: SparkSession, d: str) -> DataFrame:
     return op.calibration_sample(op.panel(scores(spark, d)), SETTINGS).select("task_id", "style", "passed", "distance")
 
@@ -338,6 +338,14 @@ def top_2(spark: SparkSession, d: str) -> DataFrame:
     return op.weakest_first(op.panel(scores(spark, d))).select("task_id", "style", "skipped", "mean")
 
 
+@query(
+    "top_2_positions",
+    f"{PANEL} SELECT task_id, style, row_number() OVER (ORDER BY skipped, CASE WHEN skipped THEN 0 ELSE {MEAN} END, task_id, list_position({STYLE_LIST}, style)) AS position FROM panel",
+)
+def top_2_positions(spark: SparkSession, d: str) -> DataFrame:
+    return op.weakest_first(op.panel(scores(spark, d))).select("task_id", "style", "position")
+
+
 @query("top_4_failures", f"{PANEL} SELECT task_id, style, array_to_string(list_filter([CASE WHEN accuracy < {BAR} THEN 'accuracy' END, CASE WHEN style_match < {BAR} THEN 'style_match' END, CASE WHEN meta_leak THEN 'meta-leak' END], lambda x: x IS NOT NULL), ', ') AS weak FROM panel WHERE NOT skipped AND NOT {PASSES}")
 def top_4(spark: SparkSession, d: str) -> DataFrame:
     return op.failure_report(op.panel(scores(spark, d)), BAR).select("task_id", "style", "weak")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..config import STYLES, Settings
 from ..functions.text import with_once
 from ..operators import describe, inference, tasks
-from ..sources.tables import nested_results
+from ..sources.shared import shared_path
+from ..sources.tables import nested_results, read_descriptions, write_descriptions
 from .derived import CAPTIONS, captions, table
 
 QUERIES: dict = {}
@@ -401,3 +402,22 @@ def snk_1(spark: SparkSession, d: str) -> DataFrame:
     """The nested results, one column a style so that they compare."""
     nested = nested_results(captions(spark, d).withColumn("clip_index", F.col("task_id")))
     return nested.select("task_id", *[F.try_element_at("captions", F.lit(s)).alias(s) for s in STYLES])
+
+
+@query(
+    "snk_1_last_written",
+    "SELECT task_id, " + ", ".join(f"max_by(text, pool_index) FILTER (WHERE style = '{s}') AS {s}" for s in STYLES) + f" FROM ({CAPTIONS}) GROUP BY 1",
+)
+def snk_1_last(spark: SparkSession, d: str) -> DataFrame:
+    """Of a style that a task's candidates give twice the last by pool index ships."""
+    nested = nested_results(captions(spark, d).withColumn("clip_index", F.col("task_id")), written="pool_index")
+    return nested.select("task_id", *[F.try_element_at("captions", F.lit(s)).alias(s) for s in STYLES])
+
+
+@query("snk_2_description_cache", "SELECT conv_id::VARCHAR AS task_id, max(text) AS text, 'live' AS source FROM conversations WHERE text <> '' GROUP BY 1")
+def snk_2(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as descriptions, written as a nested cache and read back from it."""
+    path = shared_path(spark, "cache")
+    write_descriptions(table(spark, d, "conversations").select(F.col("conv_id").alias("task_id"), "text"), path, "live")
+    source = spark.read.json(path).select("meta.source").distinct()
+    return read_descriptions(spark, path).withColumn("source", F.lit(source.first()[0]))

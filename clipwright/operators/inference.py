@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import RuleBook, Settings
+from ..sources.shared import checkpointed
 from .judging import failing, feedback, keep_best
 from .text_rules import bad_output, score_reason
 
@@ -78,7 +79,7 @@ def attempt_rounds(prompts: DataFrame, call, rules: RuleBook, tasks: int, most:
         asked = open_.withColumns({"attempt": F.lit(n), "temperature": temperature(F.col("style"), F.col("pool_index"), F.lit(n), F.col("_before")), "max_tokens": token_limit(F.lit(base_tokens), F.lit(n), F.col("_before"))}).drop("_before")
         replies = ask(asked) if ask else call_model(asked, call, tasks)
         replies = replies.withColumn("reason", F.when(F.col("error").isNotNull(), F.col("error")).otherwise(bad_output(F.col("raw"), F.col("style"), rules)))
-        replies = replies if ask else replies.checkpoint()  # the ledger's files end the lineage of its replies
+        replies = replies if ask else checkpointed(replies)  # the ledger's files end the lineage of its replies
         good = replies if n == most else replies.where("reason = ''")
         done = good if done is None else done.unionByName(good)
         open_ = replies.where("reason <> ''").select(*prompts.columns, F.col("reason").alias("_before"))
@@ -93,13 +94,13 @@ def judge_rounds(captions: DataFrame, judge: Callable[[DataFrame], DataFrame], r
     ``captions``: (task_id, style, text), one row a key. ``judge`` adds accuracy, style_match, issue, meta_leak, skipped, skip_reason; ``rewrite`` gets the failing
     rows with feedback and returns (task_id, style, text). A round works on failing keys only and is checkpointed.
     """
-    every = judge(captions).withColumn("round", F.lit(0)).checkpoint()
+    every = checkpointed(judge(captions).withColumn("round", F.lit(0)))
     last = every
     for n in range(1, most + 1):
         bad = last.where(failing(last, settings) | (score_reason(F.col("text"), F.col("style"), rules) != "ok")).withColumn("feedback", feedback(last))
         if bad.isEmpty():
             break
-        last = judge(rewrite(bad.select("task_id", "style", "text", "feedback")).select("task_id", "style", "text")).withColumn("round", F.lit(n)).checkpoint()
+        last = checkpointed(judge(rewrite(bad.select("task_id", "style", "text", "feedback")).select("task_id", "style", "text")).withColumn("round", F.lit(n)))
         every = every.unionByName(last)
     best = keep_best(every, settings, most, rules)
     return best.join(every.select("task_id", "style", "round", "text"), ["task_id", "style", "round"])

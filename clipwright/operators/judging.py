@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import STYLES, RuleBook, Settings
+from ..functions.places import with_position
 from ..functions.text import alternation, let, trimmed, with_once
 from . import text_rules as rules_of
 
@@ -256,11 +257,15 @@ def _in_order(value: Column, order: Column, keep: Column) -> Column:
 
 
 def panel(scores: DataFrame) -> DataFrame:
-    """AGG-1: one row for each task and style over its judges; all styles appear. Groups are as large as the panel of judges."""
+    """AGG-1: one row for each task and style over its judges; all styles appear.
+
+    Scores are whole thousandths, and Spark's exact median keeps a count for each value, so its state is a map of at most 1,001 counts that is merged where the
+    rows are. Issues of a group are gathered.
+    """
     active = ~F.col("skipped")
     by = scores.groupBy("task_id", "style").agg(
-        F.bround(F.median(F.when(active, F.col("accuracy"))), 3).alias("a"),
-        F.bround(F.median(F.when(active, F.col("style_match"))), 3).alias("m"),
+        F.bround(F.median(F.when(active, F.round("accuracy", 3))), 3).alias("a"),
+        F.bround(F.median(F.when(active, F.round("style_match", 3))), 3).alias("m"),
         F.coalesce(F.bool_or(F.when(active, F.col("meta_leak"))), F.lit(False)).alias("leak"),
         F.count_if(active).alias("n"),
         F.substring(F.array_join(_in_order(F.col("issue"), F.col("judge_order"), active & (F.col("issue") != "")), "; "), 1, 240).alias("issues"),
@@ -324,19 +329,29 @@ def passing_styles(scores: DataFrame, bar: float) -> DataFrame:
     return scores.groupBy("task_id").agg(F.count_if(passes(bar)).alias("passing"), F.count("*").alias("styles"))
 
 
+def in_file_order(scores: DataFrame) -> list[Column]:
+    """The order of a results file: clips as they come (clip_index if it is there, else task_id), styles as they are listed."""
+    return [F.col("clip_index" if "clip_index" in scores.columns else "task_id"), F.array_position(F.array(*map(F.lit, STYLES)), F.col("style"))]
+
+
 def calibration_sample(scores: DataFrame, settings: Settings) -> DataFrame:
-    """TOP-1: the captions nearest to the bar, for people to check."""
+    """TOP-1: the captions nearest to the bar, for people to check; ties in the order of the file."""
     bar = min(max(settings.judge_min_score, 0.0), 1.0)
     low = F.least("accuracy", "style_match")
     near = (F.abs(low - bar) <= settings.calibration_margin) | (F.abs(mean_score() - bar) <= settings.calibration_margin)
     distance = F.abs(low - bar) + F.abs(mean_score() - bar) * 0.25 - F.when(passes(bar), 0.0).otherwise(0.05)
     kept = scores.where(~F.col("skipped") & near).withColumns({"passed": passes(bar), "distance": F.bround(distance, 6)})
-    return kept.orderBy("distance", "task_id", "style").limit(settings.calibration_rows)
+    return kept.orderBy("distance", *in_file_order(scores)).limit(settings.calibration_rows)
 
 
 def weakest_first(scores: DataFrame) -> DataFrame:
-    """TOP-2: with position, skipped captions last. A global order by range partitions; positions by a window would need one task, so none is added."""
-    return scores.withColumn("mean", mean_score()).orderBy("skipped", "mean", "task_id", "style")
+    """TOP-2: with mean and position from 1: the weakest first, skipped captions last, ties in the order of the file.
+
+    The order is global by range partitions, and positions count on from the ranges before, so no task sees all rows.
+    """
+    held = F.when(F.col("skipped"), 0.0).otherwise(mean_score())
+    ranked = with_position(scores.withColumn("_mean", held), [F.col("skipped").asc(), F.col("_mean").asc(), *in_file_order(scores)], "position")
+    return ranked.withColumn("mean", mean_score()).drop("_mean")
 
 
 def low_distinctness(clips: DataFrame, settings: Settings) -> DataFrame:

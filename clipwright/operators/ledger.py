@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import checkpointed
 from .inference import REPLY, called
 from .tasks import provider
 
@@ -97,7 +98,7 @@ class Ledger:
         keyed = prompts.select(*[F.col(c).cast(ENTRY[c].dataType).alias(c) if c in KEY else F.col(f"`{c}`") for c in prompts.columns])
         missing = self.open(keyed).withColumn("_request", request_of(keyed)).dropDuplicates([*KEY, "_request"])
         salt = F.xxhash64(*KEY)
-        dealt = missing.withColumn("_lane", lanes.lane(provider(F.col("model"))["provider"], salt)).checkpoint()
+        dealt = checkpointed(missing.withColumn("_lane", lanes.lane(provider(F.col("model"))["provider"], salt)))
         longest = dealt.groupBy("_lane").count().agg(F.max("count")).first()[0]  # a row a lane
         waves = -(-(longest or 0) // lanes.calls)
         for wave in range(waves):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import STYLES, Settings
+from ..functions.places import CHUNK, before_chunks, chunk_of, with_place
 from ..functions.text import let, trimmed
 
 # Content types that are no video (any `text/` type is refused too), codes and labels of failures, and the texts that mark a failure.
@@ -172,26 +173,33 @@ def time_plan(duration_s: Column, n: Column) -> Column:
     return F.when(n <= 1, F.array(F.lit(0.0))).when(F.coalesce(duration_s, F.lit(0.0)) <= 0, none).otherwise(F.array_sort(F.array_distinct(_spread(duration_s, n, duration_s * 1000, 1))))
 
 
-def scene_scores(samples: DataFrame) -> DataFrame:
-    """FRM-5: Bhattacharyya distance of each histogram to the one before in its clip, with six decimals; 1 for the first. Histograms leave at once."""
-    w = Window.partitionBy("task_id").orderBy("sample_idx")
+def scene_scores(samples: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """FRM-5: Bhattacharyya distance of each histogram to the one before in its clip, with six decimals; 1 for the first and beside an empty one. Histograms leave at once.
+
+    A clip's samples are compared in chunks of ``chunk`` numbers, so a long clip spreads over tasks; only the last histogram of a chunk goes on to the next.
+    """
+    held = samples.withColumn("_chunk", chunk_of("sample_idx", chunk))
+    w = Window.partitionBy("task_id", "_chunk").orderBy("sample_idx")
+    near = held.select("task_id", "_chunk", "sample_idx", "hist", F.lag("hist").over(w).alias("_p"), (F.row_number().over(w) == 1).alias("_opens"))
+    ends = before_chunks(samples, ["task_id"], "sample_idx", F.max_by("hist", "sample_idx"), chunk).where("_before IS NOT NULL")
+    near = near.join(ends, ["task_id", "_chunk"], "left").withColumn("_p", F.when(F.col("_opens"), F.col("_before")).otherwise(F.col("_p")))
     total = lambda h: F.aggregate(h, F.lit(0.0), lambda a, x: a + x.cast("double"))
     overlap = F.aggregate(F.zip_with("hist", "_p", lambda a, b: F.sqrt(a.cast("double") * b.cast("double"))), F.lit(0.0), lambda a, x: a + x)
     scale = F.sqrt(total(F.col("hist")) * total(F.col("_p")))
-    far = F.sqrt(F.greatest(F.lit(0.0), 1 - overlap / F.when(scale > 0, scale)))
-    return samples.withColumn("_p", F.lag("hist").over(w)).select("task_id", "sample_idx", F.when(F.col("_p").isNull(), 1.0).otherwise(F.bround(F.coalesce(far, F.lit(1.0)), 6)).alias("score"))
+    far = F.when(scale > 0, F.sqrt(F.greatest(F.lit(0.0), 1 - overlap / scale)))
+    return near.select("task_id", "sample_idx", F.when(F.col("_p").isNull(), 1.0).otherwise(F.bround(F.coalesce(far, F.lit(1.0)), 6)).alias("score"))
 
 
 def scene_frames(scores: DataFrame, threshold: float) -> DataFrame:
     """FRM-6: (task_id, frames): first and last frame and the middle of each segment between cuts. ``scores`` has frame_count.
 
     Cuts are the first sample, the samples whose score reaches the threshold, and the last frame, which is a segment of its own. A clip without frames has none.
-    A task's array holds its cuts, which its samples bound.
+    A task's array holds its cuts, which are gathered where the samples are; no clip's samples meet in one task.
     """
-    first = F.row_number().over(Window.partitionBy("task_id").orderBy("sample_idx")) == 1
-    cuts = scores.withColumn("_cut", first | (F.col("score") >= threshold)).where("_cut").groupBy("task_id").agg(F.collect_set(F.col("sample_idx").cast("int")).alias("c"), F.max("frame_count").cast("int").alias("n"))
+    index = F.col("sample_idx").cast("int")
+    cuts = scores.groupBy("task_id").agg(F.collect_set(F.when(F.col("score") >= threshold, index)).alias("c"), F.min(index).alias("first"), F.max("frame_count").cast("int").alias("n"))
     last = F.greatest(F.col("n") - 1, F.lit(0))
-    bounds = cuts.select("task_id", "n", last.alias("last"), F.array_sort(F.array_union("c", F.array(last, last + 1))).alias("b"))
+    bounds = cuts.select("task_id", "n", last.alias("last"), F.array_sort(F.array_union("c", F.array("first", last, last + 1))).alias("b"))
     middles = F.zip_with(F.slice("b", F.lit(1), F.size("b") - 1), F.slice("b", F.lit(2), F.size("b") - 1), lambda start, end: F.floor((start + end - 1) / 2).cast("int"))
     frames = F.array_sort(F.array_union(F.array(F.lit(0), F.col("last")), middles))
     return bounds.select("task_id", F.when(F.col("n") > 0, frames).otherwise(F.array().cast("array<int>")).alias("frames"))
@@ -220,16 +228,15 @@ def frame_plan(mode: Column, count: Column, n: Column, scene: Column, duration_s
     return F.struct(kind.alias("kind"), frames.alias("frames"), F.when(kind == "time", time_plan(duration_s, n)).alias("times"))
 
 
-def even_subset(frames: DataFrame, most: int) -> DataFrame:
-    """FRM-9: of each clip at most ``most`` frames, evenly; the middle one if one."""
-    w = Window.partitionBy("task_id")
-    placed = frames.withColumn("_i", F.row_number().over(w.orderBy("sample_idx")) - 1).withColumn("_n", F.count("*").over(w))
+def even_subset(frames: DataFrame, most: int, chunk: int = CHUNK) -> DataFrame:
+    """FRM-9: of each clip at most ``most`` frames, evenly; the middle one if one. Frames are counted in chunks, so a long clip spreads over tasks."""
+    placed = with_place(frames, ["task_id"], "sample_idx", "_place", "_total", chunk)
     if most == 1:
-        keep = F.col("_i") == F.floor(F.col("_n") / 2)
+        keep = F.col("_place") == F.floor(F.col("_total") / 2)
     else:
-        wanted = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.bround(k * (F.col("_n") - 1) / (most - 1), 0).cast("int"))
-        keep = (F.col("_n") <= most) | F.array_contains(wanted, F.col("_i"))
-    return placed.where(keep).drop("_i", "_n")
+        wanted = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.bround(k * (F.col("_total") - 1) / (most - 1), 0).cast("long"))
+        keep = (F.col("_total") <= most) | F.array_contains(wanted, F.col("_place").cast("long"))
+    return placed.where(keep).drop("_place", "_total").select(*frames.columns)
 
 
 # --- joins -----------------------------------------------------------------------------------------------------------

@@ -23,10 +23,11 @@ def read_tasks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_descriptions(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-2: (task_id, text) from {"descriptions": {...}} or a flat object, without empty texts."""
-    raw = spark.read.text(path, wholetext=True)
-    inner = F.from_json(F.get_json_object("value", "$.descriptions"), "map<string,string>")
-    return raw.select(F.explode(F.coalesce(inner, F.from_json("value", "map<string,string>"))).alias("task_id", "text")).where(F.coalesce("text", F.lit("")) != "")
+    """SRC-2: (task_id, text) from {"descriptions": {...}} or a flat object, without empty texts. A file holds one object, on any number of lines, or one a line."""
+    flat = "map<string,string>"
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.when(F.from_json(F.concat(F.lit("["), "value", F.lit("]")), f"array<{flat}>").isNotNull(), F.array("value")).otherwise(F.split("value", r"\r?\n"))).alias("value"))
+    inner = F.from_json(F.get_json_object("value", "$.descriptions"), flat)
+    return whole.select(F.explode(F.coalesce(inner, F.from_json("value", flat))).alias("task_id", "text")).where(F.coalesce("text", F.lit("")) != "")
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
@@ -70,20 +71,34 @@ def read_rules(phrases: DataFrame) -> RuleBook:
     return RuleBook(**{k: tuple(sorted(v)) for k, v in found.items()})
 
 
-def nested_results(captions: DataFrame) -> DataFrame:
-    """SNK-1: one row a task with its captions as a map; of a style written twice the last in text order stays. Groups are as large as a task's styles."""
-    one = captions.groupBy("clip_index", "task_id", "style").agg(F.max("text").alias("text"))
+def nested_results(captions: DataFrame, written: str | None = None) -> DataFrame:
+    """SNK-1: one row a task with its captions as a map. Of a style written twice that with the greatest ``written`` stays, ties and without that column the last in text order.
+
+    Groups are as large as a task's styles.
+    """
+    last = F.max("text") if written is None else F.max(F.struct(F.col(written).alias("w"), "text"))["text"]
+    one = captions.groupBy("clip_index", "task_id", "style").agg(last.alias("text"))
     return one.groupBy("clip_index", "task_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("style", "text")))).alias("captions"))
 
 
-def write_results(captions: DataFrame, path: str) -> None:
-    nested_results(captions).orderBy("clip_index").select("task_id", "captions").write.json(path)
+def write_results(captions: DataFrame, path: str, written: str | None = None) -> None:
+    nested_results(captions, written).orderBy("clip_index").select("task_id", "captions").write.json(path)
+
+
+def nested_descriptions(descriptions: DataFrame, meta: dict[str, str | bool], each: int = 5_000) -> DataFrame:
+    """SNK-2: rows {"descriptions": {task_id: text, ...}, "meta": {...}} of about ``each`` tasks, as SRC-2 reads them; empty texts are left out.
+
+    Of a task described twice the text that is last in order stays.
+    """
+    kept = descriptions.where(F.coalesce("text", F.lit("")) != "").groupBy("task_id").agg(F.max("text").alias("text"))
+    parts = max(1, -(-kept.count() // each))
+    grouped = kept.groupBy(F.pmod(F.xxhash64("task_id"), F.lit(parts)).alias("_part")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("task_id").cast("string"), "text")))).alias("descriptions"))
+    return grouped.select("descriptions", F.struct(*[F.lit(v).alias(k) for k, v in meta.items()]).alias("meta"))
 
 
 def write_descriptions(descriptions: DataFrame, path: str, source: str, updated_from_live: bool = False) -> None:
-    """SNK-2: non-empty texts, each with where it came from and whether the cache was updated from a live run."""
-    kept = descriptions.where(F.coalesce("text", F.lit("")) != "")
-    kept.select("task_id", "text", F.lit(source).alias("source"), F.lit(updated_from_live).alias("updated_from_live")).write.json(path)
+    """SNK-2: a description cache with where it came from and whether it was updated from a live run; no row holds all tasks."""
+    nested_descriptions(descriptions, {"source": source} | ({"updated_from_live": True} if updated_from_live else {})).write.json(path)
 
 
 def nested_report(panel: DataFrame, clips: DataFrame | None = None) -> DataFrame:

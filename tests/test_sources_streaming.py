@@ -107,7 +107,8 @@ def test_results_frames_events_reports(spark, tmp_path):
     read = tables.read_events(spark, str(tmp_path / "events")).first()
     assert (read.task_id, read.total_s, read.describe_error) == ("a", 3.235, None)
     tables.write_descriptions(spark.createDataFrame([("a", "x"), ("b", "")], "task_id string, text string"), str(tmp_path / "d"), "live_pipeline", True)
-    assert [tuple(r) for r in spark.read.json(str(tmp_path / "d")).select("task_id", "text", "source", "updated_from_live").collect()] == [("a", "x", "live_pipeline", True)]
+    assert [r.asDict(True) for r in spark.read.json(str(tmp_path / "d")).collect()] == [{"descriptions": {"a": "x"}, "meta": {"source": "live_pipeline", "updated_from_live": True}}]
+    assert [tuple(r) for r in tables.read_descriptions(spark, str(tmp_path / "d")).collect()] == [("a", "x")]
     scores = spark.createDataFrame([("a", "formal", "j1", 0.95, 0.95, "", False, False, ""), ("a", "formal", "j2", 0.5, 0.5, "x", False, False, "")], "task_id string, style string, judge_model string, accuracy double, style_match double, issue string, meta_leak boolean, skipped boolean, skip_reason string")
     clips = spark.createDataFrame([("a", 0.4, "n", "")], "task_id string, distinctness double, note string, parse_error string")
     tables.write_report(scores, scores, clips, str(tmp_path / "report"), Settings(), "panel")
