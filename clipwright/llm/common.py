@@ -46,11 +46,11 @@ def ascii_words(text: Column) -> Column:
     return F.array_remove(F.split(plain, " ", -1), "")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lets Arrow batches end at BATCH_BYTES, so that long texts don't gather in a Python worker; a size that the user has set stays."""
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Lets Arrow batches end at ``size`` bytes, so that long texts don't gather in a Python worker; a size that has been set stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, "67108864b") in ("67108864", "67108864b", "64m"):
-        spark.conf.set(key, str(BATCH_BYTES))
+        spark.conf.set(key, str(size))
 
 
 def _staged_root(spark: SparkSession) -> str:

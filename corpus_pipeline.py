@@ -11,14 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipwright.llm import near_dedup, packing, pii, quality, toxicity
-from clipwright.llm.common import fresh, stage, table
+from clipwright.llm.common import fresh, small_batches, stage, table
 
 #: Key of the surrogates; a deployment passes its own secret.
 SURROGATE_KEY = "surrogate key of the pipeline"
+#: Bytes of rows that go to a Python worker at a time: the workers of all stages live side by side in an executor, so each gets less than with one operator.
+BATCH_BYTES = 1 << 20
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose toxicity score is 0.5 or more."""
+    small_batches(spark, BATCH_BYTES)
     model = toxicity.toxicity_model(docs, table(spark, sf_dir, "labels"))
     score = fresh(docs, "toxicity_score")
     return toxicity.score_toxicity(docs, model, score_col=score).where(F.col(score) < 0.5).select(*_all(docs))
@@ -26,6 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose quality score is below 0.5."""
+    small_batches(spark, BATCH_BYTES)
     model = quality.quality_model(docs, table(spark, sf_dir, "labels"))
     score = fresh(docs, "quality_score")
     return quality.score_quality(docs, model, score_col=score).where(F.col(score) >= 0.5).select(*_all(docs))
@@ -33,11 +37,13 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
+    small_batches(spark, BATCH_BYTES)
     return near_dedup.keep_one(docs)
 
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """With surrogates for private data; n_chars follows the new text."""
+    small_batches(spark, BATCH_BYTES)
     out, _ = pii.replace_private(docs, SURROGATE_KEY)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
@@ -46,6 +52,7 @@ def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens with their sequence and offset."""
+    small_batches(spark, BATCH_BYTES)
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
