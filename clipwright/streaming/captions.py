@@ -71,7 +71,7 @@ def read_cache(spark: SparkSession, path: str, buckets: list[int] | None = None)
 
 
 def upsert_batch(cache_path: str, buckets: int = 64):
-    """STR-3: a foreachBatch function: the batch's descriptions (task_id, text, ts) over the cache; the last ts of a task in a batch wins.
+    """STR-3: a foreachBatch function: the batch's descriptions (task_id, text, ts) over the cache; the last ts of a task in a batch wins, of its texts that aren't empty.
 
     The cache lies in buckets by a hash of task_id. A batch reads and writes only the buckets of its keys, as a new version over the newest one that is there, whatever
     the number of the batch; so a stream that starts anew keeps the cache, and a batch that runs again changes nothing. Versions older than the one before go.
@@ -79,7 +79,7 @@ def upsert_batch(cache_path: str, buckets: int = 64):
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        live = batch.groupBy("task_id").agg(F.max_by("text", "ts").alias("text")).persist()
+        live = batch.where(F.trim(F.coalesce("text", F.lit(""))) != "").groupBy("task_id").agg(F.max_by("text", "ts").alias("text")).persist()
         touched = [r.b for r in live.select(_bucket(buckets).alias("b")).distinct().collect()]  # at most ``buckets`` numbers
         if touched:
             known = _listed(spark, cache_path)

@@ -122,3 +122,9 @@ def test_rules_from_a_table(spark):
     assert rules.entities == ("alpaca", "llama") and rules.leak_markers == ("given the facts",) and rules.cut_stems == RuleBook().cut_stems
     with pytest.raises(ValueError):
         tables.read_rules(spark.createDataFrame([("no_such", "x")], "list string, phrase string"))
+
+
+def test_an_empty_text_hides_no_older_one(spark, tmp_path):
+    batch = spark.createDataFrame([("a", "good", 1), ("a", "", 2), ("a", None, 3), ("b", " ", 1)], "task_id string, text string, ts long")
+    upsert_batch(str(tmp_path / "cache"), 4)(batch, 0)
+    assert {r.task_id: r.text for r in read_cache(spark, str(tmp_path / "cache")).collect()} == {"a": "good"}
