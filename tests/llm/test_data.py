@@ -180,6 +180,107 @@ def test_every_entity_alone_is_replaced(spark):
     assert [entities[r.doc_id] for r in found if r.n != 1] == []
 
 
+def test_private_gaps(spark):
+    texts = [
+        "Mr. Γιώργος came.", "Mr. John Smith came. Smith left, said Smith-Jones; Smithson and blacksmith stay.", "token=aaaaaaaa.bbbbbbbb.cccccccc, then", "Call +49 30 12345 or +44 30 12345 or +49 30 12345.", "To İ@x.com and иван@почта.рф!",
+        "Dr. Ann Lee and Prof. Dr. Müller, Dr. J. Weiß.", 'pwd: "p@ss!w0rd#9" and "secret": \'a,b;c(d)1\'', "Mr. 田中 and Ms. 김민수, Mrs. फातिमा.", 'password="********"', "Smith here, no title.", "Mr. Li met Mr. Smith-Jones. Li and Smith-Jones agreed, Mrs. Li too.",
+    ]
+    out, count = pii.replace_private(docs(spark, texts), "k")
+    rows = {r.doc_id: r for r in out.collect()}
+    got = [rows[k].text for k in range(len(texts))]
+    assert re.fullmatch(r"Mr\. [Α-Ωα-ω]+ came\.", got[0]) and got[0] != texts[0]
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) came\. (\w+) left, said (\w+)-Jones; Smithson and blacksmith stay\.", got[1])
+    assert m and m[2] == m[3] == m[4] != "Smith" and rows[1][count] == 3
+    assert re.fullmatch(r"token=[a-z]{8}\.[a-z]{8}\.[a-z]{8}, then", got[2]) and not {"aaaaaaaa", "bbbbbbbb", "cccccccc"} & set(re.split(r"\W", got[2]))
+    a, b, c = re.fullmatch(r"Call (\+49 \d\d \d{5}) or (\+44 \d\d \d{5}) or (\+49 \d\d \d{5})\.", got[3]).groups()
+    assert a == c and a[4:] != b[4:] and "30 12345" not in got[3]
+    assert re.fullmatch(r"To [À-Ö]@[a-z]{4}\.example\.com and [а-я]{4}@[a-z]{4}\.example\.рф!", got[4]) and "иван" not in got[4]
+    assert re.fullmatch(r"Dr\. \w+ \w+ and Prof\. Dr\. \w+, Dr\. J\. \w+\.", got[5]) and not re.search("Ann|Lee|Müller|Weiß", got[5])
+    assert re.fullmatch(r"pwd: \"[a-z]@[a-z]{2}![a-z]\d[a-z]{2}#\d\" and \"secret\": '[a-z],[a-z];[a-z]\([a-z]\)\d'", got[6]) and got[6] != texts[6]
+    assert re.fullmatch(r"Mr\. [\u4e00-\u9fff]+ and Ms\. [가-힣]+, Mrs\. [\u0900-\u097f]+\.", got[7]) and not re.search("田中|김민수|फातिमा", got[7])
+    assert got[8:10] == texts[8:10] and [rows[k][count] for k in (8, 9)] == [0, 0]
+    m = re.fullmatch(r"Mr\. (\w+) met Mr\. (\w+)\. (\w+) and (\w+) agreed, Mrs\. (\w+) too\.", got[10])
+    assert m and m[1] == m[3] == m[5] != m[2] == m[4] and rows[10][count] == 5
+
+
+class PlainPrivate:
+    """The same in plain Python, for the kinds that the test draws from; no collisions."""
+
+    def __init__(self, key):
+        import regex
+
+        self.key, self.all = key, regex.compile(pii.PATTERN)
+        self.name = regex.compile(rf"({pii.TITLE})(.+)")
+        self.split = lambda pattern, text: regex.split(pattern, text)
+
+    def hexes(self, who):
+        return "".join(hashlib.sha256(f"{self.key}|{who}|0|{k}".encode()).hexdigest() for k in range(4))
+
+    def sign(self, ch, b):
+        low = ch.isascii() and ch.islower()
+        return str(b % 10) if ch in "0123456789" else chr(b % 26 + (97 if low else 65)) if ch.isascii() and ch.isalpha() else ch
+
+    def draw(self, text, who):
+        bytes_ = bytes.fromhex(self.hexes(who))
+        return "".join(self.sign(ch, bytes_[i % 128]) for i, ch in enumerate(text))
+
+    def phone(self, text):
+        code = re.match(r"\+(1|49|44|353)", text)
+        national = re.sub(r"\D", "", text[code.end() :] if code else text)
+        bytes_, out, place = bytes.fromhex(self.hexes(f"phone|{code[1] if code else '1'} {national}")), [], 0
+        for ch in reversed(text):
+            place += ch.isdigit()
+            out.append(str(bytes_[place % 128] % 10) if ch.isdigit() and place <= len(national) else ch)
+        return "".join(reversed(out))
+
+    def named(self, kind, word):
+        role, script, gender = kind.split()
+        bytes_ = bytes.fromhex(self.hexes(f"{f'surname {script}' if role == 'surname' else kind}|{word}"))
+        stems, ends = pii.NAMES[script]["stems"].split(), pii.NAMES[script]["s" if role == "surname" else gender].split()
+        return stems[bytes_[0] % len(stems)] + ends[bytes_[100] % len(ends)]
+
+    def __call__(self, text):
+        found, names, done = [m for m in self.all.finditer(text)], {}, []
+        for m in found:
+            if title := self.name.fullmatch(m[0]):
+                gender = "f" if "Mrs" in title[1] else "m" if "Mr" in title[1] else "n"
+                script, parts = "greek" if re.search("[α-ω]", title[2]) else "latin", title[2].split(" ")
+                kinds = [f"given {script} {gender}", f"surname {script} {gender}"][-len(parts) :]
+                pairs = list(zip(kinds, parts, strict=True))
+                done.append(title[1] + " ".join(self.named(*p) for p in pairs))
+                for kind, word in pairs:
+                    names.setdefault(word, self.named(kind, word))
+            elif m[0][0] in "+(" or re.fullmatch(r"\d{3}-\d{3}-\d{4}", m[0]):
+                done.append(self.phone(m[0]))
+            elif m[0].startswith("token="):
+                done.append("token=" + self.draw(m[0][6:], f"secret|{m[0][6:]}"))
+            elif "@" in m[0]:
+                local, tail = m[0].split("@")
+                flipped = bytes.fromhex(self.hexes(f"email|{m[0].lower()}")[::-1])
+                host = tail.split(".")[0] if tail.count(".") > 1 else "mail"
+                done.append(self.draw(local, f"email|{m[0].lower()}") + "@" + "".join(self.sign(ch, flipped[i % 128]) for i, ch in enumerate(host)) + ".example." + tail.split(".")[-1])
+            else:
+                done.append(self.draw(m[0], f"ssn|{m[0].replace('-', '')}"))
+        at, out, n = 0, [], len(found)
+        for start, end, put in [(m.start(), m.end(), d) for m, d in zip(found, done, strict=True)] + [(len(text), len(text), "")]:
+            for part in re.split(r"([^\W\d_]+)", text[at:start]):
+                out.append(names.get(part, part))
+                n += part in names
+            out.append(put)
+            at = end
+        return "".join(out), n
+
+
+def test_private_by_plain_python(spark):
+    rng = random.Random(9)
+    things = ["Mr. John Smith", "Mrs. Mary Smith", "Dr. Lee", "Mr. Νίκος Παππάς", "+49 30 12345", "+1 (456) 555-2186", "456-555-2186", "+353 86 123 4567", "token=abcDEF123.x-y", "Ann.Lee@mail.example.org", "b2@x.com", "123-45-6789", "Smith", "Lee", "John", "Παππάς"]
+    texts = [" ".join(rng.choice(things) if rng.random() < 0.5 else rng.choice(["and", "Smithson,", "then (so)", "called\n", "No. 7;"]) for _ in range(rng.randint(0, 25))) for _ in range(60)]
+    out, count = pii.replace_private(docs(spark, texts), "k")
+    plain = PlainPrivate("k")
+    for r in out.collect():
+        assert (r.text, r[count]) == plain(texts[r.doc_id]), texts[r.doc_id]
+
+
 def test_surrogates_stay_distinct(spark):
     """More names than one draw can tell apart: all get names of their own, none of the given ones."""
     names = [f"{a}{b}{c}" for a in ("Ka", "Lo", "Mi", "Nu", "Pe", "Ra") for b in ("bor", "dal", "fin", "gus") for c in ("", "a", "ek", "i", "o", "u", "ya", "zu", "mo", "ne", "pi", "ty", "wa")]
