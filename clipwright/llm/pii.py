@@ -318,7 +318,9 @@ def replace_private(docs: DataFrame, key: str, text_col: str = "text", id_col: s
         return _let(who, lambda n: surrogate(n["kind"], n["text"], attempt_of(identity(n["kind"], n["text"])), key))
 
     titled = F.filter(F.col(matches), lambda m: m.rlike(f"^{TITLE}{WORD}"))
-    out = out.withColumn(names_col, F.filter(F.flatten(F.transform(titled, units)), lambda n: F.length(n["text"]) > 1)).withColumn(pieces_col, F.split(text, f"(?:{PATTERN})", -1))
+    out = out.withColumn(names_col, F.filter(F.flatten(F.transform(titled, units)), lambda n: F.length(n["text"]) > 1)).withColumn(
+        pieces_col, F.when(F.size(matches) > 0, F.split(text, f"(?:{PATTERN})", -1))  # texts without entities are searched once
+    )
     longest = F.reverse(F.sort_array(F.array_distinct(F.transform(names, lambda n: F.struct(F.length(n["text"]).alias("n"), n["text"].alias("text"))))))
     out = out.withColumn(words_col, F.when(F.size(names) > 0, F.concat(F.lit(r"(?<![\p{L}\p{M}])(?:"), F.array_join(longest["text"], "|"), F.lit(r")(?![\p{L}\p{M}])"))))
     between = F.transform(pieces, lambda p: F.when(F.regexp_like(p, words), join(F.split(p, words, -1), F.transform(F.regexp_extract_all(p, words, F.lit(0)), renamed))).otherwise(p))
