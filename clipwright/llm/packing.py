@@ -45,8 +45,13 @@ def encoder(file: str):
         from tokenizers import Tokenizer
 
         spec = json.loads(file)
-        own = Tokenizer.from_str(file)
-        own_ids = lambda text: own.encode(text, add_special_tokens=False).ids
+        own: list[Tokenizer] = []  # some 40 MB, so it is read when the first text needs it
+
+        def own_ids(text: str) -> list[int]:
+            if not own:
+                own.append(Tokenizer.from_str(file))
+            return own[0].encode(text, add_special_tokens=False).ids
+
         pre, vocab = spec.get("pre_tokenizer") or {}, spec["model"].get("vocab") or {}
         special = {x["content"] for x in spec.get("added_tokens", [])}
         bytewise = spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
