@@ -165,7 +165,8 @@ def fit_machine(positive: list[bytes], negative: list[bytes], landmarks: int, se
     lam, vec = np.linalg.eigh((dense @ dense.T).astype(float) + 1e-6 * np.eye(len(marks)))
     root = vec @ np.diag(np.maximum(lam, 1e-3) ** -0.5) @ vec.T
     feat, weight = subsequences(pos + neg)
-    k = np.vstack([np.einsum("nf,mnf->nm", weight[a : a + 256], dense[:, feat[a : a + 256]]) for a in range(0, len(feat), 256)])
+    # 32 rows at a time: each takes landmarks x features x 4 bytes, some 200 KB, on the driver.
+    k = np.vstack([np.einsum("nf,mnf->nm", weight[a : a + 32], dense[:, feat[a : a + 32]]) for a in range(0, len(feat), 32)])
     w, b = svm(k @ root, np.array([1.0] * len(pos) + [-1.0] * len(neg)))
     return ToxicModel((root @ w).astype(np.float32) @ dense, float(b), (4.0, 0.0, 0.0))
 
