@@ -283,9 +283,10 @@ def _kept(x: str) -> str:
     return rf"array_to_string(list_filter(list_transform(regexp_split_to_array({x}, '\r?\n'), lambda l: {trim_sql('l')}), lambda l: l <> '' AND NOT regexp_matches(lower(l), '^(?:{LEAKS})')), ' ')"
 
 
-#: SAL-1 in SQL: candidates by (kind, i, j) in the operator's order; of equal ones the first stays.
-SALVAGED = rf"""
-WITH d AS (SELECT doc_id, {trim_sql("coalesce(text, '')")} AS t FROM documents),
+def salvaged(source: str) -> str:
+    """SAL-1 in SQL over (doc_id, text): candidates by (kind, i, j) in the operator's order; of equal ones the first stays."""
+    return rf"""
+WITH d AS (SELECT doc_id, {trim_sql("coalesce(text, '')")} AS t FROM {source}),
 b AS (SELECT doc_id, unnest(range(len(bl))) AS i, unnest(bl) AS x FROM (
   SELECT doc_id, list_reverse(list_filter(list_transform(regexp_split_to_array(t, '\n\s*\n'), lambda y: {trim_sql('y')}), lambda y: y <> '')) AS bl FROM d) WHERE len(bl) > 1),
 x AS (SELECT doc_id, 3 AS kind, i, x FROM b UNION ALL SELECT doc_id, 4, 0, t FROM d WHERE t <> ''),
@@ -301,6 +302,9 @@ f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, candidate ORDER BY kind,
 salvaged AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY kind, i, j) - 1)::INT AS ord, candidate FROM f WHERE copy = 1)"""
 
 
+SALVAGED = salvaged("documents")
+
+
 @query("sal_1_salvage_candidates", f"{SALVAGED} SELECT doc_id, ord, candidate FROM salvaged")
 def sal_1(spark: SparkSession, d: str) -> DataFrame:
     """Every document's text as a raw reply: its candidates in order."""
@@ -330,3 +334,31 @@ TAILS = f"""SELECT doc_id, text, min(ord * 2 + n) AS ord, 'sarcastic' AS style F
 def sal_3(spark: SparkSession, d: str) -> DataFrame:
     bad = lambda c: ~t.good_output(c, F.lit("sarcastic"), RULES)
     return table(spark, d, "documents").select("doc_id", op.longest_fit(op.salvage_candidates(F.col("text"), RULES), t.word_limit(F.lit("sarcastic"), RULES), bad).alias("caption"))
+
+
+#: SAL-4: texts as replies in the styles by turns, every third between quotes and every fifth a single sentence, so that good replies, salvage and failures occur.
+STYLES_BY_TURN = "CASE doc_id % 4 WHEN 0 THEN 'formal' WHEN 1 THEN 'sarcastic' WHEN 2 THEN 'humorous_tech' ELSE 'humorous_non_tech' END"
+RAW = f"""SELECT doc_id, {STYLES_BY_TURN} AS style, CASE WHEN doc_id % 3 = 0 THEN '"' || s || '"' ELSE s END AS raw FROM (
+  SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN substring(coalesce(text, ''), 1, strpos(coalesce(text, '') || '.', '.')) ELSE coalesce(text, '') END AS s FROM documents)"""
+BARE = f"""SELECT doc_id, style, CASE WHEN length(b) >= 2 AND left(b, 1) IN ('"', chr(39)) AND left(b, 1) = right(b, 1) THEN substring(b, 2, length(b) - 2) ELSE b END AS text
+  FROM (SELECT doc_id, style, {trim_sql("raw")} AS b FROM ({RAW}))"""
+OFFERED = f"SELECT doc_id, ord, candidate AS text, {STYLES_BY_TURN} AS style FROM ({salvaged(f'({BARE})')} SELECT * FROM salvaged)"
+ENDS = f"""SELECT doc_id, text, min(ord * 2 + n) AS ord, any_value(style) AS style FROM (
+  SELECT doc_id, style, ord, n, array_to_string(p[len(p) - n + 1:], ' ') AS text FROM (SELECT doc_id, style, ord, {split_sentences("text")} AS p, unnest([1, 2]) AS n FROM ({OFFERED})) WHERE n <= len(p)) GROUP BY 1, 2"""
+LIMIT = "CASE style " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in RULES.word_limits.items()) + f" ELSE {RULES.default_word_limit} END"
+
+
+@query(
+    "sal_4_normalised_reply",
+    f"""SELECT b.doc_id, CASE WHEN b.bad = '' THEN b.text ELSE coalesce(v.caption, e.caption, b.text) END AS caption FROM ({judged(BARE)} SELECT doc_id, text, bad FROM r) b
+LEFT JOIN (SELECT doc_id, arg_min(text, ord) AS caption FROM ({judged(OFFERED)} SELECT doc_id, ord, text FROM r WHERE bad = '') GROUP BY 1) v USING (doc_id)
+LEFT JOIN (SELECT doc_id, text AS caption FROM ({judged(ENDS)} SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY n_words DESC, ord) AS pos
+  FROM r WHERE bad = '' AND n_words <= {LIMIT}) WHERE pos = 1) e USING (doc_id)""",
+)
+def sal_4(spark: SparkSession, d: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    said = F.when(F.col("doc_id") % 5 == 0, F.substring_index(F.concat(text, F.lit(".")), ".", 1)).otherwise(text)
+    said = F.when((F.col("doc_id") % 5 == 0) & text.contains("."), F.concat(said, F.lit("."))).otherwise(said)
+    quoted = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('"'), said, F.lit('"'))).otherwise(said)
+    docs = table(spark, d, "documents").select("doc_id", quoted.alias("raw"), F.expr(STYLES_BY_TURN).alias("style"))
+    return op.normalised_replies(docs, "doc_id", "raw", "style", RULES)

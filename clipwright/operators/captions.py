@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RuleBook, Settings
-from ..functions.text import alternation, let, sentences, size0, tokens, trimmed, word_count
+from ..functions.text import alternation, let, sentences, size0, tokens, trimmed, with_once, word_count
 from . import text_rules as rules_of
 
 
@@ -175,17 +175,23 @@ def _without_leaks(text: Column, rules: RuleBook) -> Column:
 
 def salvage_candidates(raw: Column, rules: RuleBook) -> Column:
     """SAL-1: captions that may hide in a reply, cheapest first, distinct: JSON, quoted spans, without label, without notes, paragraphs from the end, last sentences."""
-    t = trimmed(F.coalesce(raw, F.lit("")))
-    whole = F.when(t.startswith("{"), F.get_json_object(t, "$.caption"))
-    inner = F.get_json_object(F.regexp_extract(t, r'(?s)(\{"caption".*\})', 1), "$.caption")
-    quoted = F.transform(F.regexp_extract_all(t, F.lit(r'"([^"]{40,400})"'), F.lit(1)), trimmed)
-    quoted = F.filter(quoted, lambda s: s.rlike(r"^\p{Lu}") & s.rlike(r"[.!?]$") & (word_count(s) >= 8))
-    by_words = F.array_sort(F.transform(quoted, lambda s, i: F.struct((-word_count(s)).alias("n"), i.alias("i"), s.alias("s"))))
-    blocks = F.filter(F.transform(F.split(t, r"\n\s*\n"), trimmed), lambda b: b != "")
-    blocks = F.when(F.size(blocks) > 1, F.reverse(blocks)).otherwise(_strings())
-    of_blocks = F.flatten(F.transform(blocks, lambda b: F.concat(F.array(b, _without_label(b, rules), _without_leaks(b, rules)), _tails(b, 3))))
-    found = F.concat(F.array(trimmed(F.coalesce(whole, inner))), F.transform(by_words, lambda x: x["s"]), F.array(_without_label(t, rules), _without_leaks(t, rules)), of_blocks, _tails(t, 3))
-    return F.when(t == "", _strings()).otherwise(F.array_distinct(F.filter(F.transform(found, trimmed), lambda c: c.isNotNull() & (c != ""))))
+
+    def found(t: Column, blocks: Column) -> Column:
+        whole = F.when(t.startswith("{"), F.get_json_object(t, "$.caption"))
+        inner = F.get_json_object(F.regexp_extract(t, r'(?s)(\{"caption".*\})', 1), "$.caption")
+        quoted = F.transform(F.regexp_extract_all(t, F.lit(r'"([^"]{40,400})"'), F.lit(1)), trimmed)
+        quoted = F.filter(quoted, lambda s: s.rlike(r"^\p{Lu}") & s.rlike(r"[.!?]$") & (word_count(s) >= 8))
+        by_words = F.array_sort(F.transform(quoted, lambda s, i: F.struct((-word_count(s)).alias("n"), i.alias("i"), s.alias("s"))))
+        of_blocks = F.flatten(F.transform(blocks, lambda b: F.concat(F.array(b, _without_label(b, rules), _without_leaks(b, rules)), _tails(b, 3))))
+        every = F.concat(F.array(trimmed(F.coalesce(whole, inner))), F.transform(by_words, lambda x: x["s"]), F.array(_without_label(t, rules), _without_leaks(t, rules)), of_blocks, _tails(t, 3))
+        return F.array_distinct(F.filter(F.transform(every, trimmed), lambda c: c.isNotNull() & (c != "")))
+
+    def of_text(t: Column) -> Column:
+        blocks = F.filter(F.transform(F.split(t, r"\n\s*\n"), trimmed), lambda b: b != "")
+        several = let(blocks, lambda b: F.when(F.size(b) > 1, F.reverse(b)).otherwise(_strings()))
+        return F.when(t == "", _strings()).otherwise(let(several, lambda b: found(t, b)))
+
+    return let(trimmed(F.coalesce(raw, F.lit(""))), of_text)
 
 
 def first_valid(candidates: Column, bad) -> Column:
@@ -207,9 +213,34 @@ def longest_fit(candidates: Column, limit: Column, bad) -> Column:
     return F.array_max(F.filter(ranked, lambda x: (x["n"] <= limit) & ~bad(x["s"])))["s"]
 
 
+def _bare(raw: Column) -> Column:
+    return F.regexp_replace(trimmed(F.coalesce(raw, F.lit(""))), r"""(?s)^(["'])(.*)\1$""", "$2")
+
+
 def normalised_reply(raw: Column, style: Column, rules: RuleBook) -> Column:
     """SAL-4: without one pair of quotes around; if bad, the first valid candidate, else the longest fit, else the reply itself."""
-    bare = F.regexp_replace(trimmed(F.coalesce(raw, F.lit(""))), r"""(?s)^(["'])(.*)\1$""", "$2")
+    bare = _bare(raw)
     bad = lambda c: ~rules_of.good_output(c, style, rules)
     found = salvage_candidates(bare, rules)
     return F.when(~bad(bare), bare).otherwise(F.coalesce(first_valid(found, bad), longest_fit(found, rules_of.word_limit(style, rules), bad), bare))
+
+
+def normalised_replies(rows: DataFrame, key: str, raw: str, style: str, rules: RuleBook) -> DataFrame:
+    """SAL-4 for a table with one row a ``key``: (key, caption).
+
+    What a reply may become is one list in order of preference: valid candidates by place, then fitting tails from the longest, then the reply itself. Its entries are rows, so
+    the rules run as compiled code, and a partial aggregate takes the least that they don't refuse. A good reply has one entry and salvages nothing.
+    """
+    option = lambda kind, a, b, text: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), text.alias("text"))
+    itself = F.array(option(3, F.lit(0), F.lit(0), F.col("_bare")))
+
+    def salvaged(found: Column) -> Column:
+        tails = F.array_distinct(F.flatten(F.transform(found, lambda c: _tails(c, 2))))
+        return F.concat(F.transform(found, lambda c, i: option(1, i, F.lit(0), c)), F.transform(tails, lambda s, i: option(2, -word_count(s), i, s)), itself)
+
+    bare = with_once(rows.select(key, style, _bare(F.col(raw)).alias("_bare")), _good=rules_of.good_output(F.col("_bare"), F.col(style), rules))
+    options = F.when(F.col("_good"), itself).otherwise(let(salvage_candidates(F.col("_bare"), rules), salvaged))
+    flat = bare.select(key, style, F.explode(options).alias("_o"))
+    fits = (F.col("_o.kind") == 1) | (-F.col("_o.a") <= rules_of.word_limit(F.col(style), rules))
+    kept = (F.col("_o.kind") == 3) | (fits & rules_of.good_output(F.col("_o.text"), F.col(style), rules))
+    return flat.groupBy(key).agg(F.min(F.when(kept, F.col("_o"))).alias("_o")).select(key, F.col("_o.text").alias("caption"))

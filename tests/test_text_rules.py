@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clipwright.config import RuleBook, Settings
-from clipwright.functions.text import sentences, tokens, word_count
+from clipwright.functions.text import sentences, tokens, trimmed, word_count
 from clipwright.operators import captions as op
 from clipwright.operators import text_rules as t
 
@@ -115,3 +115,19 @@ def test_salvage(spark):
 def test_no_python_in_plans(spark):
     df = op.with_rank(spark.createDataFrame([("a", "formal", "x")], "text string, style string, facts string"), RULES)
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_and_ends(spark):
+    rows = [("",), (" \t\n\x0b\f\r",), ("  a  b\tc\n",), ("x",), (None,), ("\u00a0a\u00a0",)]
+    assert col(spark, word_count(F.col("text")), *rows) == [0, 0, 3, 1, None, 1]
+    assert col(spark, trimmed(F.col("text")), *rows) == ["", "", "a  b\tc", "x", None, "\u00a0a\u00a0"]
+    assert col(spark, sentences(F.col("text")), ("A b.  C d!\n\nE",), ("A.B c?d",), ("... .x",)) == [["A b.", "C d!", "E."], ["A.B c?d."], ["...", ".x."]]
+
+
+def test_replies_as_a_table_agree_with_the_column(spark):
+    texts = [None, "", '"', '""', f'"{GOOD}"', f"Outline: words\n\n{GOOD}", f"Caption: {GOOD}", "word " * 300, GOOD + " " + "and then it " * 40 + "stops. " + GOOD, "no end"]
+    df = spark.createDataFrame([(k, t, s) for k, (t, s) in enumerate((t, s) for t in texts for s in ("formal", "sarcastic"))], "id long, raw string, style string")
+    one = df.select("id", op.normalised_reply(F.col("raw"), F.col("style"), RULES).alias("caption"))
+    many = op.normalised_replies(df, "id", "raw", "style", RULES)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+    assert op.normalised_replies(df.limit(0), "id", "raw", "style", RULES).count() == 0
