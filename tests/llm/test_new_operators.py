@@ -153,6 +153,34 @@ def test_hard_negatives(spark, kind):
     assert sorted(tuple(r) for r in found) == brute_negatives(rows) and found
 
 
+@pytest.mark.parametrize("size", [1, 1e5, 1e6])
+def test_hard_negatives_by_contract_on_large_components(spark, tmp_path, size):
+    """Scores that double precision rounds, and steps between neighbouring scores that it loses: all by whole numbers of any length."""
+    rng = np.random.default_rng(7)
+    v = np.float32(rng.normal(size=(6, 12))[np.arange(330) % 6] * size + rng.normal(size=(330, 12)) * size / 50)
+    v[200:260] = v[200]
+    v[200:260, 3] += np.float32(np.arange(60) * size / 100_000)
+    rows = [(k, x.tolist(), int(k % 10)) for k, x in enumerate(v)] + [(350, None, 1), (400, [None] * 12, 1), (450, [math.nan] * 12, 2), (500, v[0].tolist(), None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    whole = [[math.floor(256 * y) for y in x.tolist()] for x in v]
+    label = [(k % 10 + (k % 7 == 0)) % 10 for k in range(330)]
+    wanted = []
+    for a in range(0, 330, 50):
+        score = [sum(p * q for p, q in zip(whole[a], x, strict=True)) for x in whole]
+        order = sorted((j for j in range(330) if j != a), key=lambda j: (-score[j], j))
+        for p in [j for j in order if label[j] == label[a]][:5]:
+            fit = [j for j in order if label[j] != label[a] and 50 * score[p] <= 100 * score[j] <= 95 * score[p]][:3]
+            wanted += [(a, p, r + 1, j, score[p], score[j]) for r, j in enumerate(fit)]
+    assert sorted(tuple(r) for r in hard_negatives.op13_hard_negatives(spark, str(tmp_path)).collect()) == sorted(wanted) and wanted
+
+
+def test_products_beyond_double_precision():
+    a = np.array([[3.0, 2**30 + 1, -1], [0, 0, 0], [2.0**40, 1, 7], [1, -(2.0**70), 2.0**70]])
+    x = np.array([[1.0, 2**31 + 1, 5], [2.0**23 - 1, 3, 2], [1e30, 1e30, 0], [4, 2.0**70, 2.0**70]])
+    exact = [[sum(int(p) * int(q) for p, q in zip(r.tolist(), s.tolist(), strict=True)) for s in x] for r in a]
+    assert hard_negatives.products(a, x).tolist() == [[max(-hard_negatives.MOST, min(hard_negatives.MOST, y)) for y in r] for r in exact]
+
+
 def test_intervals_hold_and_prune():
     rng = np.random.default_rng(0)
     a, c = rng.normal(size=(5, 4)), rng.normal(size=(7, 4))
