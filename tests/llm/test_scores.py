@@ -104,6 +104,25 @@ def test_language_learns_from_every_document(spark):
     assert len(trains) > 1400 and (model.find(last) < len(model.keys)).all() and np.isfinite(model.times).all()
 
 
+def test_language_with_more_grams_than_a_task_holds(spark):
+    """Beyond the bound no n-gram is left out: all scores are those of the model that holds them all, by the dictionary, by joins and in small blocks."""
+    rng = random.Random(2)
+    rare = [(k, " ".join(rng.choices(LANGS[lang].split(), k=30)) + f" {lang}{'éßñz'[k % 4]}q{chr(97 + k % 26)}ux{chr(97 + k // 26)} 12,x", lang) for k in range(160) for lang in LANGS]
+    docs = spark.createDataFrame(rare + [(900, None, "aa"), (901, "x", None)], "doc_id long, text string, lang string")
+    tests = [(t.split()[-2], None) for _, t, _ in rare[:60]] + [(t, "z") for _, t, _ in rare[:30]] + [(t, t) for t in (None, "", "12 !!", "x" * 900, "Ünseen ωords", "x", "x")]
+    df = spark.createDataFrame(tests, "text string, score string")
+    whole, wide = language.fit_languages(docs), language.fit_languages(docs, most_grams=10)
+    assert isinstance(wide, language.WideModel) and wide.grams.count() == len(whole.keys)
+    assert (wide.model.usual, wide.model.times, wide.model.calibration) == tuple(pytest.approx(x, rel=1e-3) for x in (whole.usual, whole.times, whole.calibration))
+    key = lambda rows: sorted((str(r.text), r.lang_pred, r.rejected, r.score, r.cross_entropy) for r in rows)
+    wanted = key(language.identify(df, whole).collect())
+    fields = "lang_pred string, score double, cross_entropy double, rejected boolean, size double"
+    for got in (language.identify(df, wide), language.wide_scores(df.drop("score"), "text", wide, fields, hot=20, block_grams=300), language.wide_scores(df.drop("score"), "text", wide, fields, hot=0)):
+        for a, b in zip(key(got.collect()), wanted, strict=True):
+            assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], abs=2e-3)
+    assert [r.lang_pred for r in language.identify(spark.createDataFrame([("12 !!",)], "text string"), wide).collect()] == ["und"]
+
+
 def brute_kneser_ney(words):
     """Interpolated Kneser-Ney by definition, with dictionaries: the log probability of a word between boundary signs."""
     raw = {}
