@@ -5,8 +5,9 @@ rank, until no pair has one.  Ranks are a literal: a hash map from pair of ids t
 has one place each, so a look-up is two reads.  The fold keeps the pairs' ranks and renews only the two beside a merge.
 
 Folding each occurrence of a word would repeat most of the work.  The words of a bounded sample of documents are folded once, and the
-HOT most frequent go to the tasks as a dictionary; it only saves time, results don't depend on it.  A task looks words up, leaves holes for the others,
-the same fold runs over the distinct other words of each document, and the holes are filled.  Texts are never shuffled, and Python only splits and looks up.
+HOT most frequent go to the tasks as a dictionary; it only saves time, results don't depend on it.  A task looks words up, merges rarer ones of more than
+SHORT bytes where it splits, since such a fold costs some three times as much, and leaves holes for the others; the same fold runs over the distinct short
+words of each document, and the holes are filled.  Texts are never shuffled.
 
 Ids are carried as a text of decimal numbers joined by one space.  Decoding looks up each id's bytes in a literal and concatenates them in Spark.
 """
@@ -28,8 +29,8 @@ from .common import chunks, small_batches, stage, table
 
 #: Words in the dictionary, and documents whose words are counted for it.
 HOT, SAMPLE = 600_000, 25_000
-#: A match of more bytes is merged with a heap where it is split: the fold's cost grows with the square of a match's length.
-LONG = 1_024
+#: A rare match of more bytes is merged where it is split: the fold's cost grows with the square of a match's length. From LONG on with a heap.
+SHORT, LONG = 6, 64
 ALL = 1_000_000_000
 #: Texts of these characters only can be split by the standard library's faster matcher, with the same result.
 PLAIN = re.compile("[^\\t\\n\\r -~\\xa1-\\xa9\\xab-\\xb1\\xb4-\\xb8\\xbb\\xbf-\\u024f]")
@@ -113,7 +114,7 @@ def fold(words: Column, ranks: RankMap) -> Column:
                 beside = rank(id_of(F.get(acc, i - 4)), new), rank(new, id_of(F.get(acc, i + 2)))
                 return F.concat(F.slice(acc, F.lit(1), i - 3), F.array(beside[0], new.bitwiseOR(number(ranks.part)), beside[1]), F.slice(acc, i + 3, F.lit(ALL)))
 
-            return F.when(F.array_min(acc) >= ranks.edge, acc).otherwise(_let(F.array_position(acc, F.array_min(acc)).cast("int"), merged))
+            return _let(F.array_min(acc), lambda least: F.when(least >= ranks.edge, acc).otherwise(_let(F.array_position(acc, least).cast("int"), merged)))
 
         def begun(codes: Column) -> Column:
             both = lambda a, b: F.array(F.get(literal[2], a), F.coalesce(F.get(literal[3], F.shiftleft(a, 8) + b), none))
@@ -133,6 +134,21 @@ def spelled(ids: Column) -> Column:
     return F.array_join(F.transform(ids, lambda x: x.cast("string")), " ")
 
 
+def list_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one short match: the same merges, the least rank looked for in a list."""
+    parts, get, none = [piece[k : k + 1] for k in range(len(piece))], ranks.get, len(ranks) + (1 << 60)
+    of = [get(piece[k : k + 2], none) for k in range(len(piece) - 1)]
+    while of and (least := min(of)) < none:
+        k = of.index(least)
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        del of[k]
+        if k < len(of):
+            of[k] = get(parts[k] + parts[k + 1], none)
+        if k:
+            of[k - 1] = get(parts[k - 1] + parts[k], none)
+    return [ranks[x] for x in parts]
+
+
 def heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one match: the same merges as the fold's, least rank first and leftmost among equals, in n log n."""
     end, before = list(range(1, len(piece) + 1)), list(range(-1, len(piece) - 1))
@@ -224,8 +240,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             raw = word.encode("utf-8", "replace")
             if raw in ranks:
                 return str(ranks[raw])
-            if len(raw) > LONG:
-                return " ".join(map(str, heap_merge(raw, ranks)))
+            if len(raw) > SHORT:
+                return " ".join(map(str, (heap_merge if len(raw) > LONG else list_merge)(raw, ranks)))
             return f"~{holes.setdefault(word, len(holes))}~"
 
         for batch in batches:

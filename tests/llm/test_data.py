@@ -62,6 +62,14 @@ def test_plan_is_best_fit():
         assert used <= len(room) + 1
 
 
+def test_merged_by_list_as_by_heap():
+    P = pytest.importorskip("public_tokenizers")
+    ranks = byte_bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    rng = random.Random(4)
+    for word in ["", "a", "é", *("".join(rng.choices("aeinorst éß漢\U0001f600", k=rng.randint(2, 40))) for _ in range(500))]:
+        assert byte_bpe.list_merge(word.encode(), ranks) == byte_bpe.heap_merge(word.encode(), ranks)
+
+
 def test_byte_bpe(spark):
     import tiktoken
 
