@@ -158,10 +158,11 @@ def _byte(hexes: Column, k: Column) -> Column:
 
 def _letter(ch: Column, b: Column) -> Column:
     """The sign that a byte draws for a digit or letter: of the same kind, case and script; other signs stay."""
-    out = F.when(ch.rlike("[0-9]"), (b % 10).cast("string")).when(ch.rlike("[a-z]"), F.char(b % 26 + 97)).when(ch.rlike("[A-Z]"), F.char(b % 26 + 65))
-    for those, letters in ALPHABETS:
-        out = out.when(ch.rlike(those), F.substring(F.lit(letters), b % len(letters) + 1, F.lit(1)))
-    return out.otherwise(ch)
+    letters = F.when(ch.rlike("[0-9]"), "0123456789").when(ch.rlike("[a-z]"), "abcdefghijklmnopqrstuvwxyz").when(ch.rlike("[A-Z]"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    for those, these in ALPHABETS:
+        letters = letters.when(ch.rlike(those), these)
+    # The byte stands in the expression once, not with each alphabet: surrogates are drawn in many places of a plan.
+    return _let(letters, lambda of: F.coalesce(F.substring(of, b % F.length(of) + 1, F.lit(1)), ch))
 
 
 def _redrawn(text: Column, hexes: Column) -> Column:
@@ -212,27 +213,26 @@ def surrogate(kind: Column, text: Column, attempt: Column, key: str) -> Column:
     hexes = F.concat(*[F.sha2(F.concat(seed, F.lit(str(k))), 256) for k in range(4)])
 
     def drawn(h):
-        card = _redrawn_right(text, h, F.length(F.regexp_replace(text, r"\D", "")) - 1)
-        digits = F.regexp_replace(card, r"\D", "")
         valid = _luhn(F.regexp_replace(text, r"\D", "")) % 10 == 0
-        checked = F.concat(
+        checked = lambda card: F.concat(
             F.substring(card, F.lit(1), F.length(card) - 1),
-            ((F.right(card, F.lit(1)).cast("int") + 10 - _luhn(digits) % 10) % 10).cast("string"),
+            ((F.right(card, F.lit(1)).cast("int") + 10 - _luhn(F.regexp_replace(card, r"\D", "")) % 10) % 10).cast("string"),
         )
+        card = _let(_redrawn_right(text, h, F.length(F.regexp_replace(text, r"\D", "")) - 1), lambda c: F.when(valid, checked(c)).otherwise(c))
         local, domain = F.substring_index(text, "@", 1), F.substring_index(text, "@", -1)
         host = F.when(F.size(F.split(domain, r"\.")) > 2, F.substring_index(domain, ".", 1)).otherwise("mail")
         email = F.concat(_redrawn(local, h), F.lit("@"), _redrawn(host, F.reverse(h)), F.lit(".example."), F.substring_index(domain, ".", -1))
         octets = F.array_join(F.transform(F.array(*map(F.lit, range(4))), lambda i: (_byte(h, i) % 254 + 1).cast("string")), ".")
         body = F.substring(text, F.lit(5), F.length(text))
-        new_body = _redrawn_right(body, h, F.lit(1_000_000))
         country = F.substring(text, 1, 2)
-        check = F.lpad((98 - _mod97(F.concat(F.regexp_replace(new_body, " ", ""), country, F.lit("00")))).cast("string"), 2, "0")
+        check = lambda new: F.lpad((98 - _mod97(F.concat(F.regexp_replace(new, " ", ""), country, F.lit("00")))).cast("string"), 2, "0")
+        iban = _let(_redrawn_right(body, h, F.lit(1_000_000)), lambda new: F.concat(country, check(new), new))
         out = (
             F.when(kind == "email", email)
             .when(kind == "ip", octets)
-            .when(kind == "card", F.when(valid, checked).otherwise(card))
+            .when(kind == "card", card)
             .when(kind == "phone", _redrawn_right(text, h, F.length(_national(text))))
-            .when(kind == "iban", F.concat(country, check, new_body))
+            .when(kind == "iban", iban)
             .when(kind == "access", F.concat(F.substring(text, 1, 4), _redrawn(F.substring(text, F.lit(5), F.length(text)), h)))
             .when(
                 (kind == "secret") & text.rlike("^[0-9a-f]+$"),
